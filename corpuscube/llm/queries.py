@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuscube.llm import language, quality, toxicity
+from corpuscube.llm import fingerprints, language, mixing, quality, sharding, topk, toxicity
 from corpuscube.llm.annotate import remainder
 
 
@@ -19,12 +19,21 @@ def _judged(scored: DataFrame, by: int, held: int, threshold: float) -> DataFram
     return scored.select("doc_id", (remainder(F.col("doc_id"), by) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(remainder(F.col("doc_id"), 5) != 0))
     return _judged(model.transform(docs, keep=["doc_id"]), 5, 0, 0.3)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_neighbours(_read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(remainder(F.col("doc_id"), 3) != 1))
@@ -32,6 +41,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(scored, 3, 1, 0.7)
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(_read(spark, sf_dir, "documents"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = language.fit(docs.where(remainder(F.col("doc_id"), 3) != 1))
@@ -39,9 +53,30 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    found = topk.top_k(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op4_toxicity, op7_language)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_fingerprints, op4_toxicity, op6_sharding, op7_language, op10_topk)}
+
+
+_OP10 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_topk": _OP10}
