@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuscube.llm import fingerprints, language, mixing, quality, sharding, topk, toxicity
+from corpuscube.llm import fingerprints, language, mixing, packing, quality, sharding, simhash, topk, toxicity
 from corpuscube.llm.annotate import remainder
 
 
@@ -41,6 +41,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(scored, 3, 1, 0.7)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(_read(spark, sf_dir, "documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -53,6 +57,13 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack(_read(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end=1)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "embeddings")
     found = topk.top_k(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
@@ -60,7 +71,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_fingerprints, op4_toxicity, op6_sharding, op7_language, op10_topk)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_fingerprints, op4_toxicity, op5_simhash, op6_sharding, op7_language, op8_packing, op10_topk)}
 
 
 _OP10 = """
