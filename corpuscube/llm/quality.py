@@ -12,7 +12,7 @@ largest.  Repeated documents each get the same score.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -119,28 +119,28 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     rows = docs.select(key, F.col(text).alias("__x")).join(F.broadcast(picked), key)
     tasks = max(1, min(shards, picked.count() // 1500))
     rows = rows.select(F.xxhash64(F.lit("order"), key).alias("o"), "__x", F.col("__y").cast("double").alias("y"))
+    rows = rows.withColumn("shard", F.pmod("o", F.lit(tasks)))
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learn(group: pa.Table) -> pa.Table:
         seen: list[tuple[int, np.ndarray, np.ndarray, float]] = []
-        for batch in batches:
-            order, y = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for lo, hi, data, off in chunks(batch.column(1)):
-                grams, bounds = ngrams(data, off)
-                for i in range(hi - lo):
-                    at, n = np.unique(grams[bounds[i] : bounds[i + 1]], return_counts=True)
-                    x = np.append(n * (SCALE / max(1, n.sum())), 1.0)
-                    seen.append((order[lo + i], np.append(at, 1 << BITS).astype(np.int32), x.astype(np.float32), y[lo + i]))
-        if not seen:
-            return
+        order, y = group["o"].to_pylist(), group["y"].to_pylist()
+        for lo, hi, data, off in chunks(group["__x"]):
+            grams, bounds = ngrams(data, off)
+            for i in range(hi - lo):
+                at, n = np.unique(grams[bounds[i] : bounds[i + 1]], return_counts=True)
+                x = np.append(n * (SCALE / max(1, n.sum())), 1.0)
+                seen.append((order[lo + i], np.append(at, 1 << BITS).astype(np.int32), x.astype(np.float32), y[lo + i]))
         seen.sort(key=lambda r: r[0])
         model = Leader()
         for _ in range(passes):
-            for _, at, x, y in seen:
-                model.update(at, x.astype(np.float64), y)
-        yield pa.RecordBatch.from_arrays([pa.array([len(seen)]), pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
-
-    made = rows.repartition(tasks, "o").mapInArrow(learn, "n bigint, w binary").collect()
-    if not made:
-        return QualityModel(np.zeros(1 << BITS), 0.0)
-    w = np.average([np.frombuffer(r["w"], np.float32) for r in made], axis=0, weights=[r["n"] for r in made])
+            for _, at, x, y_ in seen:
+                model.update(at, x.astype(np.float64), y_)
+        w = model.weights()
+        at = np.flatnonzero(w)
+        return pa.table({"n": pa.array([len(seen)]), "at": pa.array([at.astype(np.int32).tobytes()], pa.binary()), "w": pa.array([w[at].tobytes()], pa.binary())})
+
+    made = rows.groupBy("shard").applyInArrow(learn, "n bigint, at binary, w binary").collect()
+    w = np.zeros((1 << BITS) + 1)
+    for r in made:
+        w[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["w"]) * (r["n"] / sum(x["n"] for x in made))
     return QualityModel(w[:-1], float(w[-1]))
