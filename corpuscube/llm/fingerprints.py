@@ -20,8 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from corpuscube.llm import ranges
+from corpuscube.llm.annotate import annotate
 from corpuscube.llm.spans import CHUNK, SPACE, U, Prefix, flat, mix, owners, runs
 from corpuscube.llm.tables import width
 
@@ -129,19 +131,9 @@ def compare(data: np.ndarray, off: np.ndarray) -> tuple:
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all if None) and fingerprint; one pass, no shuffle."""
-    from corpuscube.llm.annotate import annotate
-
     return annotate(docs, text, keep, [("fingerprint", "string")], lambda: lambda data, off: (Paragraphs(data, off).sums().text(),))
 
 
-def _bucket(of: Column, bounds: list[int], lo: int = 0) -> Column:
-    """How many bounds lie at or below a number, by bisection."""
-    if not bounds:
-        return F.lit(lo)
-    at = len(bounds) // 2
-    return F.when(of < bounds[at], _bucket(of, bounds[:at], lo)).otherwise(_bucket(of, bounds[at + 1 :], lo + at + 1))
-
-
 def edited_neighbours(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and
     near_next of every row; equal ids follow one another in the order of their texts, null ids
@@ -151,14 +143,14 @@ def edited_neighbours(docs: DataFrame, text: str = "text", key: str = "doc_id")
     order = F.coalesce(docs[key], F.lit((1 << 63) - 1))
     parts = width(spark)
     rows = docs.select(order.alias("o"), F.col(key).cast("bigint").alias("id"), F.col(text).alias("x"))
-    bounds = sorted({int(x) for x in rows.approxQuantile("o", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    firsts = {r["b"]: r["m"] for r in rows.select(_bucket(F.col("o"), bounds).alias("b"), "o").groupBy("b").agg(F.min("o").alias("m")).collect()}
+    bounds = ranges.bounds(rows, "o", parts)
+    firsts = {r["b"]: r["m"] for r in rows.select(ranges.bisect(F.col("o"), bounds).alias("b"), "o").groupBy("b").agg(F.min("o").alias("m")).collect()}
     full = sorted(firsts)
     before = {firsts[b]: a for a, b in zip([full[-1:], *[[x] for x in full]], full)} if full else {}
     also = F.lit(None).cast("int")
     if before:
         also = F.element_at(F.create_map(*[F.lit(x) for o, a in before.items() for x in (o, a[0])]), F.col("o"))
-    here = _bucket(F.col("o"), bounds)
+    here = ranges.bisect(F.col("o"), bounds)
     copies = F.when(also.isNotNull(), F.array(F.struct(here.alias("b"), F.lit(0).alias("s")), F.struct(also.alias("b"), F.lit(1).alias("s")))).otherwise(F.array(F.struct(here.alias("b"), F.lit(0).alias("s"))))
     dealt = rows.withColumn("at", F.explode(copies)).select(F.col("at.b").alias("b"), F.col("at.s").alias("s"), "o", "id", "x")
     dealt = dealt.repartition(parts, "b").sortWithinPartitions("b", "s", "o", "x")

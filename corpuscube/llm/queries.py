@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuscube.llm import fingerprints, language, mixing, packing, quality, sharding, simhash, topk, toxicity
+from corpuscube.llm import fingerprints, language, mixing, packing, quality, repeats, sharding, simhash, topk, toxicity
 from corpuscube.llm.annotate import remainder
 
 
@@ -64,6 +64,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(_read(spark, sf_dir, "documents"), keep=["doc_id"], length=50)
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("span_starts").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "embeddings")
     found = topk.top_k(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
@@ -71,7 +77,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_fingerprints, op4_toxicity, op5_simhash, op6_sharding, op7_language, op8_packing, op10_topk)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_fingerprints, op4_toxicity, op5_simhash, op6_sharding, op7_language, op8_packing, op9_repeats, op10_topk)}
 
 
 _OP10 = """
