@@ -190,10 +190,11 @@ def earlier(h: np.ndarray, order: np.ndarray, body: np.ndarray, size: np.ndarray
     return out
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: Sequence[str] | None = None, length: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: Sequence[str] | None = None, length: int = 50, as_text: bool = False) -> DataFrame:
     """The columns `keep` of docs (all if None) and n_bytes, span_starts and span_ends (the
     removed runs, in bytes) and kept, the bytes that stay.  A kept column that has one of
-    these names is replaced.  length: 2 * GRAM to 80 bytes."""
+    these names is replaced.  as_text: kept is a string, without the characters of which only
+    a part stays.  length: 2 * GRAM to 80 bytes."""
     if not 2 * GRAM <= length <= 80:
         raise ValueError("length must be from 48 to 80")
     made = {"n_bytes", "span_starts", "span_ends", "kept"}
@@ -262,7 +263,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
         kept_off = np.concatenate([[0], np.cumsum(~away)])[cell.off]
         spans = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((x - base).astype(np.int64))) for x in (starts, ends)]
         body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cell.off) - 1, [None, pa.py_buffer(kept_off.astype(np.int64)), pa.py_buffer(kept)]).cast(pa.binary())
+        if as_text:
+            body = pa.array([x.decode("utf-8", "ignore") for x in body.to_pylist()], pa.string())
         return pa.table([*(cell.table[c] for c in names), pa.array(np.diff(cell.off)), *spans, body], names=[*names, "n_bytes", "span_starts", "span_ends", "kept"])
 
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("n_bytes", T.LongType()), T.StructField("span_starts", T.ArrayType(T.LongType())), T.StructField("span_ends", T.ArrayType(T.LongType())), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("n_bytes", T.LongType()), T.StructField("span_starts", T.ArrayType(T.LongType())), T.StructField("span_ends", T.ArrayType(T.LongType())), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     return cells.groupBy("__cell").cogroup(replies.unionByName(verdicts).groupBy("__cell")).applyInArrow(cut, schema)

@@ -8,6 +8,12 @@ stored vertically, 64 pairs to a word, differing bits are added by carry-save co
 blocks of pairs that all exceed the radius are abandoned.  A bucket sends the edges of a
 forest only, and a bucket of more than TILE fingerprints is cut into pairs of tiles.
 
+That finds every link of a small radius.  Texts whose shingles are alike by four fifths
+differ in up to a dozen bits; for such a radius the parts would be too short, so buckets can
+instead be the least hashes of the texts' shingles under KEYS orders (two such texts share
+none of them once in 15,000 times), and the forest's links, nearest first, are then held
+against the exact share of common shingles.
+
 Only distinct fingerprints are compared, so exact copies cost an aggregate.  The exact
 components come from star contraction.
 
@@ -34,6 +40,8 @@ from corpuscube.llm.tables import stored, width
 RADIUS = 2
 TILE = 4096
 SMALL = 64
+KEYS = 6
+_ORDERS = [U(pow(0x9E3779B97F4A7C15, 2 * k + 3, 1 << 64)) for k in range(KEYS)]
 _P1, _P2, _P3, _P4, _P5 = (U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
@@ -89,33 +97,52 @@ def xxh64(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) ->
     return out
 
 
-def simhashes(data: np.ndarray, off: np.ndarray, shingle: int = 3, seed: int = 42) -> np.ndarray:
-    """The fingerprint of each text."""
-    docs = len(off) - 1
+def shingles(data: np.ndarray, off: np.ndarray, size: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's runs of `size` words, repeats included, and each text's bounds.
+    A-Z count as lower case; a text of fewer words has one shingle, one without a word none."""
     inside = ~SPACE[data]
     starts, ends, bounds = runs(inside, off)
-    out = np.zeros(docs, np.uint64)
     if not len(starts):
-        return out
-    size = ends - starts
-    word_of = np.repeat(np.arange(len(starts)), size)
-    body = np.full(int(size.sum()) + len(starts), 32, np.uint8)  # each word and a space
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+    length = ends - starts
+    word_of = np.repeat(np.arange(len(starts)), length)
+    body = np.full(int(length.sum()) + len(starts), 32, np.uint8)  # each word and a space
     body[np.arange(len(word_of)) + word_of] = LOWER[data][inside]
-    begin = np.cumsum(size + 1) - size - 1
+    begin = np.cumsum(length + 1) - length - 1
     n = np.diff(bounds)
-    spans = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
+    spans = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     edges = np.concatenate([[0], np.cumsum(spans)])
     first = np.arange(edges[-1]) + np.repeat(bounds[:-1] - edges[:-1], spans)
-    last = first + np.repeat(np.minimum(n, shingle) - 1, spans)
-    h = xxh64(body, begin[first], begin[last] + size[last], seed)
+    last = first + np.repeat(np.minimum(n, size) - 1, spans)
+    return xxh64(body, begin[first], begin[last] + length[last], seed), edges
+
+
+def simhashes(data: np.ndarray, off: np.ndarray, size: int = 3, seed: int = 42) -> np.ndarray:
+    """The fingerprint of each text."""
+    return _majority(*shingles(data, off, size, seed))
+
+
+def _majority(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    out, spans = np.zeros(len(edges) - 1, np.uint64), np.diff(edges)
     some = spans > 0
-    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    counts = np.add.reduceat(bits, edges[:-1][some], axis=0, dtype=np.int32)
-    over = (2 * counts > spans[some][:, None]).astype(np.uint8)
-    out[some] = np.packbits(over, axis=1, bitorder="little").view("<u8").reshape(-1)
+    if some.any():
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.add.reduceat(bits, edges[:-1][some], axis=0, dtype=np.int32)
+        over = (2 * counts > spans[some][:, None]).astype(np.uint8)
+        out[some] = np.packbits(over, axis=1, bitorder="little").view("<u8").reshape(-1)
     return out
 
 
+def _least(h: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
+    """Of each text, the least hash of its shingles under each order; none without a word."""
+    some = np.diff(edges) > 0
+    out = np.zeros((len(some), KEYS), np.uint64)
+    if some.any():
+        for k, order in enumerate(_ORDERS):
+            out[some, k] = np.minimum.reduceat(h * order, edges[:-1][some])
+    return [row.view(np.int64) if ok else row[:0].view(np.int64) for row, ok in zip(out, some.tolist(), strict=True)]
+
+
 def planes(values: np.ndarray) -> np.ndarray:
     """64 bit planes of n values, 64 values to a word; bits beyond n are 0."""
     bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -198,43 +225,58 @@ def links(prints: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of n positions, the smallest one that the links (a, b) connect each to."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        for x in (a, b):
-            np.minimum.at(root, before[x], low)
+def forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b) between n positions make a spanning forest of least total
+    distance: every component takes its nearest link, all at once, until none joins two."""
+    root, chosen, left = np.arange(n), [np.zeros(0, np.int64)], np.arange(len(a))
+    while True:
+        left = left[root[a[left]] != root[b[left]]]
+        if not len(left):
+            return np.concatenate(chosen)
+        rank = (far[left].astype(np.int64) << 40) | left  # a total order, so that no cycle arises
+        best = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(best, root[a[left]], rank)
+        np.minimum.at(best, root[b[left]], rank)
+        took = np.unique(best[best < np.iinfo(np.int64).max]) & ((1 << 40) - 1)
+        chosen.append(took)
+        x, y = root[a[took]], root[b[took]]
+        while (x != y).any():
+            low = np.minimum(x, y)
             np.minimum.at(root, x, low)
-        while (root[root] != root).any():
-            root = root[root]
-        if (root == before).all():
-            break
-    return root
+            np.minimum.at(root, y, low)
+            while (root[root] != root).any():
+                root = root[root]
+            x, y = root[a[took]], root[b[took]]
 
 
-def linked(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (u, v) that connect the distinct fingerprints (fp bigint) as all links would."""
+def by_parts(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, t, k): the buckets in which fingerprints within radius are sure to meet."""
     parts = radius + 2
     ends = [64 * k // parts for k in range(parts + 1)]
     piece = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(ends, ends[1:])]
     tables = [F.struct(F.lit(i).alias("t"), F.xxhash64(F.lit(i), *[piece[k] for k in c]).alias("k")) for i, c in enumerate(combinations(range(parts), 2))]
-    keyed = prints.select("fp", F.explode(F.array(*tables)).alias("x")).select("fp", "x.t", "x.k")
+    return prints.select("fp", F.explode(F.array(*tables)).alias("x")).select("fp", "x.t", "x.k")
+
+
+def linked(keyed: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges (u, v) that connect the distinct fingerprints of buckets (fp, t, k) as all links
+    within radius in any bucket would."""
+    spark = keyed.sparkSession
     keyed = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("t", "k"))).where("n > 1")
     tiles = F.ceil(F.col("n") / TILE)
     mine = F.pmod(F.xxhash64(F.lit("tile"), "fp"), tiles)
     keyed = keyed.select("fp", "t", "k", "n", mine.alias("mine"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
     keyed = keyed.select("fp", F.xxhash64("t", "k", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"))
-    spread = keyed.repartition(width(prints.sparkSession), "g").sortWithinPartitions("g", "fp")
+    spread = keyed.repartition(width(spark), "g").sortWithinPartitions("g", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp, g = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def done(fp: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
-            root = forest(len(fp), *links(fp.view(np.uint64), g, radius))
-            child = np.flatnonzero(root != np.arange(len(fp)))
-            return pa.RecordBatch.from_arrays([pa.array(fp[child]), pa.array(fp[root[child]])], names=["u", "v"])
+            prints = fp.view(np.uint64)
+            a, b = links(prints, g, radius)
+            used = forest(len(fp), a, b, np.bitwise_count(prints[a] ^ prints[b]))
+            return pa.RecordBatch.from_arrays([pa.array(fp[a[used]]), pa.array(fp[b[used]])], names=["u", "v"])
 
         for batch in batches:
             fp, g = np.concatenate([fp, batch.column(0).to_numpy()]), np.concatenate([g, batch.column(1).to_numpy()])
@@ -248,13 +290,45 @@ def linked(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return spread.select("fp", "g").mapInArrow(run, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: Sequence[str] = (), radius: int = RADIUS) -> DataFrame:
+def _held(edges: DataFrame, each: DataFrame, docs: DataFrame, text: str, key: str, size: int, similarity: float) -> DataFrame:
+    """The edges whose texts share at least `similarity` of their distinct shingles; a
+    fingerprint stands for its text of the smallest id."""
+    edges = stored(edges.distinct(), "simhash-edges")
+    ends = edges.select(F.col("u").alias("fp")).union(edges.select("v")).distinct().join(each, "fp").select("fp", F.col("least").alias("__k"))
+    texts = docs.select(F.col(key).alias("__k"), F.col(text).alias("x")).join(ends, "__k")
+
+    def sets(data: np.ndarray, off: np.ndarray) -> tuple:
+        h, at = shingles(data, off, size)
+        return ([np.unique(h[i:j]).view(np.int64) for i, j in zip(at[:-1], at[1:], strict=True)],)
+
+    texts = annotate(texts, "x", ["fp"], [("s", "array<bigint>")], lambda: sets).groupBy("fp").agg(F.first("s").alias("s"))
+    pairs = edges.join(texts.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(texts.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return pairs.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: Sequence[str] = (), shingle: int = 3, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """The key and the columns `keep` of every row, fingerprint (16 hexadecimal digits) and
-    component_id, the smallest key that a row's component holds."""
-    made = annotate(docs, text, [key, *keep], [("fp", "bigint")], lambda: lambda data, off: (simhashes(data, off).view(np.int64),))
-    prints = stored(made, "simhash-prints")
-    each = stored(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
-    root = components(linked(each.select("fp"), radius))
+    component_id, the smallest key that a row's component holds.
+
+    similarity None: all fingerprints within radius are linked.  Else those are that also
+    share one of KEYS least shingles and as large a part of all their shingles."""
+    fields = [("fp", "bigint")] + ([] if similarity is None else [("keys", "array<bigint>")])
+
+    def prints_of(data: np.ndarray, off: np.ndarray) -> tuple:
+        h, edges = shingles(data, off, shingle)
+        fp = _majority(h, edges).view(np.int64)
+        return (fp,) if similarity is None else (fp, _least(h, edges))
+
+    prints = stored(annotate(docs, text, [key, *keep], fields, lambda: prints_of), "simhash-prints")
+    first = F.min(F.struct(F.col(key).alias("least"), *(["keys"] if similarity is not None else []))).alias("x")
+    each = stored(prints.groupBy("fp").agg(first, F.count(F.lit(1)).alias("n")).select("fp", "x.*", "n"), "simhash-distinct")
+    if similarity is None:
+        edges = linked(by_parts(each, radius), radius)
+    else:
+        edges = linked(each.select("fp", F.posexplode("keys").alias("t", "k")), radius)
+        edges = _held(edges, each, docs, text, key, shingle, similarity)
+    root = components(edges)
     of = each.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("members"))
     of = of.join(least.where("members > 1"), "root").select("fp", "component_id")
