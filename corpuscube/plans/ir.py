@@ -183,9 +183,9 @@ def _rank_sql():
     for i, q in SPREAD.items():
         words = [w for w in q.split() if w not in RETRIEVAL]
         listed = ", ".join(f"'{w}'" for w in words)
-        parts.append(f"SELECT {i} AS query_id, doc_id, row_number() OVER (ORDER BY count(*) DESC, sum(weight) DESC, doc_id) AS position FROM weighted WHERE term IN ({listed}) GROUP BY doc_id QUALIFY position <= 10000")
+        parts.append(f"SELECT {i}::BIGINT AS query_id, doc_id, row_number() OVER (ORDER BY count(*) DESC, sum(weight) DESC, doc_id) AS position FROM weighted WHERE term IN ({listed}) GROUP BY doc_id QUALIFY position <= 10000")
     return f"""{_COUNTS}, ranking AS ({' UNION ALL '.join(parts)}),
-marks AS (SELECT q.query_id, l.doc_id FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l, (SELECT unnest([{', '.join(map(str, SPREAD))}]) AS query_id) q),
+marks AS (SELECT q.query_id, l.doc_id FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l, (SELECT unnest([{', '.join(map(str, SPREAD))}])::BIGINT AS query_id) q),
 total AS (SELECT query_id, count(*) AS total_relevant FROM marks GROUP BY 1),
 judged AS (SELECT r.query_id, r.position, (m.doc_id IS NOT NULL)::INT AS relevant, sum((m.doc_id IS NOT NULL)::INT) OVER (PARTITION BY r.query_id ORDER BY position) AS i FROM ranking r LEFT JOIN marks m USING (query_id, doc_id)),
 cuts AS (SELECT query_id, position, i / total_relevant AS recall, i / position AS precision FROM judged JOIN total USING (query_id) WHERE relevant = 1),

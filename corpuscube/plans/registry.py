@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscube.plans import ir
+from corpuscube.plans import ir, lid
 
 FLAGSHIP = "ir_search_or"
-FAMILIES = (ir,)
+FAMILIES = (ir, lid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
