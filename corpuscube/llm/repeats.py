@@ -55,9 +55,10 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     inside[off[1:][long] - length + 1] -= 1
     inside = np.cumsum(inside)[:starts] > 0  # windows within one document
     prefix = Prefix(data)
-    at = np.arange(n - GRAM + 1)
-    h = prefix.of(at, at + GRAM)
-    least = (h & U(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+    h = prefix.all(GRAM)
+    least = h * U(0x9FB21C651E98DF25)
+    least &= U(0xFFFFFFFF00000000)
+    least |= np.arange(n - GRAM + 1, dtype=np.uint64)
     done, wide = 1, least
     while 2 * done <= grams:
         wide = np.minimum(wide[:-done], wide[done:])
@@ -68,7 +69,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     place = place[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else place
     doc = np.searchsorted(off, place, "right") - 1
     lo, hi = np.maximum(place - (length - GRAM), off[doc]), np.minimum(place + length, off[doc + 1])
-    return doc, place, lo, hi, mix(h[place] * U(3)), prefix.of(lo, hi)
+    return doc, place, lo, hi, mix(h[place]), prefix.of(lo, hi)
 
 
 class Cell:
@@ -86,15 +87,16 @@ class Cell:
             base = self.off[lo]
             parts.append((doc + lo, place + base, a + base, b + base, h, c))
         self.doc, self.place, self.lo, self.hi, h, c = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
-        by = np.lexsort((c, h))
-        h, c = h[by], c[by]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])[: len(h)]
+        # in order of the anchor's first bits, which name its bucket, then of a hash of both
+        key = (h & U(0xFFFFF00000000000)) | (mix(h + c * U(5)) >> U(20))
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
         self.entry = np.empty(len(by), np.int64)
         self.entry[by] = np.cumsum(new) - 1
         first = np.flatnonzero(new)
-        self.h, self.c = h[first], c[first]
-        # anchors lie in buckets by their upper half, so entries are in order of bucket
-        bucket = ((self.h >> U(32)) * U(buckets)) >> U(32)
+        self.h, self.c = h[by[first]], c[by[first]]
+        bucket = ((self.h >> U(44)) * U(buckets)) >> U(20)
         self.cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
         ranks = self.rank[self.doc]
         self.first_rank = np.minimum.reduceat(ranks[by], first) if len(first) else np.zeros(0, np.int64)
@@ -111,9 +113,17 @@ class Cell:
         return np.concatenate([np.frombuffer(got[b], dtype) for b in sorted(got)]) if got else np.zeros(0, dtype)
 
     def flags(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Of each entry: whether an earlier cell has its context; whether this cell sends it."""
+        """Of each entry: whether an earlier cell has its context; and those that this cell sends.
+        An anchor that only one document has is not sent, though its contexts differ."""
         told = self.answers(replies, 1)
-        return told == 1, np.flatnonzero(told == 2)
+        alone = told == 3
+        if alone.any():
+            _, anchor = np.unique(self.h, return_inverse=True)
+            first, last = np.full(len(self.h), len(self.rank)), np.zeros(len(self.h), np.int64)
+            np.minimum.at(first, anchor, self.first_rank)
+            np.maximum.at(last, anchor[self.entry], self.ranks)
+            alone &= (first == last)[anchor]
+        return told == 1, np.flatnonzero((told >= 2) & ~alone)
 
 
 _PACKED = "bucket int, cell int, a binary, b binary, c binary"
@@ -133,8 +143,8 @@ _REPLY = "__cell int, kind int, bucket int, body binary"
 
 
 def shared(table: pa.Table) -> pa.Table:
-    """Step 2, for one bucket: 1 if an earlier cell has the context, else 2 if the anchor has
-    another context too, else 0."""
+    """Step 2, for one bucket: 1 if an earlier cell has the context; else, if the anchor has
+    another context too, 2, or 3 where all of them are in one cell; else 0."""
     rows = sorted(zip(table["cell"].to_pylist(), table["bucket"].to_pylist(), table["a"].to_pylist(), table["b"].to_pylist(), strict=True), key=lambda r: r[0])
     h, c = (np.concatenate([np.frombuffer(r[k], "<u4") for r in rows]).astype(np.uint64) for k in (2, 3))
     key = (h << U(32)) | c
@@ -148,6 +158,10 @@ def shared(table: pa.Table) -> pa.Table:
     edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     many = np.repeat(np.diff(np.append(edge, len(anchor))) > 1, np.diff(np.append(edge, len(anchor))))
     told[first[many]] = 2
+    cell = np.repeat([r[0] for r in rows], [len(r[2]) // 4 for r in rows])[by]
+    every = np.flatnonzero(np.concatenate([[True], (k >> U(32))[1:] != (k >> U(32))[:-1]]))
+    one = np.minimum.reduceat(cell, every) == np.maximum.reduceat(cell, every)
+    told[first[many & np.repeat(one, np.diff(np.append(edge, len(anchor))))]] = 3
     at = np.cumsum([0, *[len(r[2]) // 4 for r in rows]])
     return _reply(1, [r[0] for r in rows], [r[1] for r in rows], [told[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])
 

@@ -14,15 +14,15 @@ import numpy as np
 
 
 def suffix_order(text: np.ndarray, classes_at: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
-    """The suffix array of symbols 0 to 256, by prefix doubling; and, for each position, the
+    """The suffix array of symbols 0 to 256, by prefix doubling from 7 symbols; and, for each position, the
     class of its first `classes_at` symbols (None if that is 0)."""
     n = len(text)
     symbols = np.concatenate([text.astype(np.int64) + 1, np.zeros(7, np.int64)])
     key = np.zeros(n, np.int64)
-    for k in range(6):
+    for k in range(7):
         key = key * 258 + symbols[k : k + n]
     _, rank = np.unique(key, return_inverse=True)
-    length, classes = 6, None
+    length, classes = 7, None
 
     def joined(first: np.ndarray, step: int) -> np.ndarray:
         second = np.zeros(n, np.int64)
@@ -50,6 +50,7 @@ class RunLengthIndex:
         last = self.text[order - 1]  # the symbol before each suffix; round to the end before the first
         self.first = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]])) if len(last) else np.zeros(0, np.int64)
         self.end = np.append(self.first[1:], len(last)) - 1
+        self.run = np.repeat(np.arange(len(self.first), dtype=np.int32), self.end - self.first + 1)  # rank of run heads
         self.head = last[self.first].astype(np.int64)
         self.sample_first, self.sample_end = order[self.first], order[self.end]
         size = self.end - self.first + 1
@@ -72,7 +73,7 @@ class RunLengthIndex:
         padded = np.concatenate([self.text, np.zeros(wide + 1, np.int16)])
         for column in range(wide - 1, -1, -1):
             symbol = patterns[:, column].astype(np.int64)
-            run = np.searchsorted(self.first, row, "right") - 1
+            run = self.run[row]
             miss = np.flatnonzero((self.head[run] != symbol) & (symbol > 0))
             if len(miss):
                 place = np.searchsorted(self.places, symbol[miss] * self.runs + run[miss])
@@ -88,7 +89,7 @@ class RunLengthIndex:
                     b_row[take] = (self.end[there] if side else self.first[there])[take]
                 none = best < 0
                 row[miss], at[miss], size[miss] = b_row, b_at, np.maximum(best, 0)
-                run = np.searchsorted(self.first, row, "right") - 1
+                run = self.run[row]
                 absent = miss[none]
             else:
                 absent = miss

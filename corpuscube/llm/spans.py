@@ -59,6 +59,10 @@ class Prefix:
         back = _power(1, len(self.sums))
         return mix((self.sums[ends] - self.sums[starts]) * back[starts])
 
+    def all(self, n: int) -> np.ndarray:
+        """Of every span of n bytes, a product that `mix` would make a hash."""
+        return (self.sums[n:] - self.sums[:-n]) * _power(1, len(self.sums) - n)
+
 
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string or binary column as its bytes and offsets; null counts as empty."""
