@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscube.plans import ir, lid
+from corpuscube.plans import cube, ir, lid
 
 FLAGSHIP = "ir_search_or"
-FAMILIES = (ir, lid)
+FAMILIES = (ir, lid, cube)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
