@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscube.plans import cube, ir, lid
+from corpuscube.plans import cube, ir, lid, summ
 
 FLAGSHIP = "ir_search_or"
-FAMILIES = (ir, lid, cube)
+FAMILIES = (ir, lid, cube, summ)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
