@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscube.plans import cube, ir, lid, summ
+from corpuscube.plans import cube, ir, lex, lid, summ
 
 FLAGSHIP = "ir_search_or"
-FAMILIES = (ir, lid, cube, summ)
+FAMILIES = (ir, lid, cube, summ, lex)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
