@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from corpuscube.llm.spans import CHUNK, chunks
+from corpuscube.llm.spans import CHUNK, chunks, release
 
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
 
@@ -33,6 +33,8 @@ def annotate(df: DataFrame, text: str, keep: Sequence[str] | None, fields: Seque
             for lo, hi, data, off in chunks(batch.column(at), limit, most):
                 made = [pa.array(x, k) for x, k in zip(f(data, off), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in range(len(kept))] + made, names=[*kept, *(n for n, _ in fields)])
+            del batch
+            release()
 
     return source.mapInArrow(run, schema)
 

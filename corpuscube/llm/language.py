@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from corpuscube.llm.annotate import annotate, sigmoid
-from corpuscube.llm.spans import LOWER, chunks
+from corpuscube.llm.spans import LOWER, chunks, release
 
 DIM = 4096
 ROWS = 256
@@ -155,7 +155,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
             labels += batch.column(1).to_pylist()
             parts += [features(data, off) for _, _, data, off in chunks(batch.column(0), most=ROWS)]
         if labels:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_learn(np.concatenate(parts), labels, steps))], pa.binary())], names=["model"])
+            model = pickle.dumps(_learn(np.concatenate(parts), labels, steps))
+            del parts
+            release()
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     made = picked.select("x", "y").repartition(1).mapInArrow(learn, "model binary").collect()
     return pickle.loads(made[0]["model"])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from corpuscube.llm.spans import LOWER, SPACE, Prefix, chunks, owners, runs
+from corpuscube.llm.spans import LOWER, SPACE, Prefix, chunks, owners, release, runs
 
 WINDOW = 1 << 22
 KNOWN = 1 << 20
@@ -164,6 +164,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
                     made, n = packed(keys, parts, first)
                     yield made
                     keys, parts, held, first = [], [], 0, first + n
+                    release()
         if parts:
             yield packed(keys, parts, first)[0]
 

@@ -35,20 +35,22 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpuscube.llm import ranges
 from corpuscube.llm.rindex import RunLengthIndex
-from corpuscube.llm.spans import CHUNK, U, Prefix, chunks, flat, mix, runs
+from corpuscube.llm.spans import CHUNK, U, Prefix, chunks, flat, mix, release, runs
 from corpuscube.llm.tables import width
 
 GRAM = 24
+#: Bytes of contexts that one index holds, about.
+INDEXED = 1 << 20
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of every anchor: its document, place, context's start and end, and the hashes of the
-    anchor and of the context.  A window's anchor is the leftmost least-hashed gram in it."""
+    """Of every anchor: its document, its context's start and end, and the hashes of the anchor
+    and of the context.  A window's anchor is the leftmost least-hashed gram in it."""
     grams, n = length - GRAM + 1, len(data)
     none = np.zeros(0, np.int64)
     starts = n - length + 1
     if starts <= 0:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     inside = np.zeros(n + 1, np.int32)
     long = np.diff(off) >= length
     inside[off[:-1][long]] = 1
@@ -69,7 +71,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     place = place[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else place
     doc = np.searchsorted(off, place, "right") - 1
     lo, hi = np.maximum(place - (length - GRAM), off[doc]), np.minimum(place + length, off[doc + 1])
-    return doc, place, lo, hi, mix(h[place]), prefix.of(lo, hi)
+    return doc, lo, hi, mix(h[place]), prefix.of(lo, hi)
 
 
 class Cell:
@@ -81,18 +83,20 @@ class Cell:
         ids = self.table["__o"].to_numpy()
         self.rank = np.cumsum(np.concatenate([[0], (ids[1:] != ids[:-1]).astype(np.int64)])) if len(ids) else np.zeros(0, np.int64)
         self.data, self.off = flat(self.table["__x"])
-        parts = []
-        for lo, hi, data, off in chunks(self.table["__x"].combine_chunks(), CHUNK):
-            doc, place, a, b, h, c = anchors(data, off, length)
+        # a cell holds less than 2**31 bytes, as Arrow's strings do
+        parts = [(np.zeros(0, np.int32),) * 3 + (np.zeros(0, np.uint64),) * 2]
+        for lo, _, data, off in chunks(self.table["__x"].combine_chunks(), CHUNK // 2):
+            doc, a, b, h, c = anchors(data, off, length)
             base = self.off[lo]
-            parts.append((doc + lo, place + base, a + base, b + base, h, c))
-        self.doc, self.place, self.lo, self.hi, h, c = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
+            parts.append(((doc + lo).astype(np.int32), (a + base).astype(np.int32), (b + base).astype(np.int32), h, c))
+        self.doc, self.lo, self.hi, h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         # in order of the anchor's first bits, which name its bucket, then of a hash of both
         key = (h & U(0xFFFFF00000000000)) | (mix(h + c * U(5)) >> U(20))
         by = np.argsort(key, kind="stable")
         key = key[by]
         new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-        self.entry = np.empty(len(by), np.int64)
+        self.entry = np.empty(len(by), np.int32)
         self.entry[by] = np.cumsum(new) - 1
         first = np.flatnonzero(new)
         self.h, self.c = h[by[first]], c[by[first]]
@@ -221,7 +225,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
     def send(table: pa.Table) -> pa.Table:
         cell, at = Cell(table, length, buckets), table["__cell"][0].as_py()
         low = lambda x, i, j: (x[i:j] & U(0xFFFFFFFF)).astype("<u4").tobytes()
-        return _rows([(b, at, low(cell.h, i, j), low(cell.c, i, j), None) for b, (i, j) in enumerate(zip(cell.cuts[:-1], cell.cuts[1:], strict=True)) if j > i])
+        made = _rows([(b, at, low(cell.h, i, j), low(cell.c, i, j), None) for b, (i, j) in enumerate(zip(cell.cuts[:-1], cell.cuts[1:], strict=True)) if j > i])
+        del cell
+        release()
+        return made
 
     replies = cells.groupBy("__cell").applyInArrow(send, _PACKED).groupBy("bucket").applyInArrow(shared, _REPLY)
 
@@ -237,6 +244,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
                 s = cell.sample[which]
                 numbers = np.stack([(cell.h[which] & U(0xFFFFFFFF)).astype(np.int64), cell.first_rank[which], cell.hi[s] - cell.lo[s]]).astype("<i8")
                 rows.append((b, at, numbers.tobytes(), b"".join([cell.data[x:y].tobytes() for x, y in zip(cell.lo[s].tolist(), cell.hi[s].tolist(), strict=True)]), None))
+        del cell
+        release()
         return _rows(rows)
 
     def judge(table: pa.Table) -> pa.Table:
@@ -245,7 +254,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
         h, rank, size = np.concatenate(numbers, 1)
         counts = [x.shape[1] for x in numbers]
         when = np.repeat(np.array([r[0] for r in rows], np.int64) << 40, counts) + rank
-        bits = earlier(h, when, np.frombuffer(b"".join([r[3] for r in rows]), np.uint8), size, length)
+        body = np.frombuffer(b"".join([r[3] for r in rows]), np.uint8)
+        bits, groups = np.zeros(len(h), np.uint64), max(1, len(body) // INDEXED)
+        for g in range(groups):  # anchors are dealt over as many indexes as their size asks for
+            here = h % groups == g
+            bits[here] = earlier(h[here], when[here], body[np.repeat(here, size)], size[here], length)
+        release()
         at = np.cumsum([0, *counts])
         return _reply(2, [r[0] for r in rows], [r[1] for r in rows], [bits[a:b].astype("<u8").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])
 
@@ -254,8 +268,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
 
     def cut(table: pa.Table, told: pa.Table) -> pa.Table:
         cell = Cell(table, length, buckets)
-        n = len(cell.data)
-        lo, hi = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        lo, hi = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         if told.num_rows:
             before, mine = cell.flags(told)
             windows = np.zeros(len(cell.h), np.uint64)
@@ -267,19 +280,26 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
             for j in range(length - GRAM + 1):
                 one = part[(windows[cell.entry[part]] >> U(j)) & U(1) == 1]
                 lo.append(cell.lo[one] + j)
-                hi.append(cell.lo[one] + j + length)
-        change = np.bincount(np.concatenate(lo), minlength=n + 1)[: n + 1] - np.bincount(np.concatenate(hi), minlength=n + 1)[: n + 1]
-        away = np.cumsum(change[:n]) > 0
-
-        starts, ends, at = runs(away, cell.off)
-        base = np.repeat(cell.off[:-1], np.diff(at))
-        kept = cell.data[~away]
-        kept_off = np.concatenate([[0], np.cumsum(~away)])[cell.off]
-        spans = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((x - base).astype(np.int64))) for x in (starts, ends)]
-        body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cell.off) - 1, [None, pa.py_buffer(kept_off.astype(np.int64)), pa.py_buffer(kept)]).cast(pa.binary())
-        if as_text:
-            body = pa.array([x.decode("utf-8", "ignore") for x in body.to_pylist()], pa.string())
-        return pa.table([*(cell.table[c] for c in names), pa.array(np.diff(cell.off)), *spans, body], names=[*names, "n_bytes", "span_starts", "span_ends", "kept"])
+                hi.append(cell.lo[one] + (j + length))
+        # only how many begin and end at a place matters, so both are sorted alone
+        lo, hi = np.sort(np.concatenate(lo)), np.sort(np.concatenate(hi))
+        made = []
+        for i, j, data, off in chunks(cell.table["__x"].combine_chunks(), CHUNK):
+            base, n = cell.off[i], len(data)
+            at = [np.bincount(x[np.searchsorted(x, base) : np.searchsorted(x, base + n)] - base, minlength=n)[:n] for x in (lo, hi)]
+            away = np.cumsum(at[0] - at[1]) > 0
+            # runs cross no document's edge, and neither do strings, so an end at the chunk's edge needs no mark
+            starts, ends, begin = runs(away, off)
+            inner = np.repeat(off[:-1], np.diff(begin))
+            spans = [pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array((x - inner).astype(np.int64))) for x in (starts, ends)]
+            kept_off = np.concatenate([[0], np.cumsum(~away)])[off]
+            body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(kept_off.astype(np.int64)), pa.py_buffer(data[~away])]).cast(pa.binary())
+            if as_text:
+                body = pa.array([x.decode("utf-8", "ignore") for x in body.to_pylist()], pa.string())
+            made.append(pa.table([*(cell.table[c].slice(i, j - i) for c in names), pa.array(np.diff(off)), *spans, body], names=[*names, "n_bytes", "span_starts", "span_ends", "kept"]))
+        del cell
+        release()
+        return pa.concat_tables(made)
 
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("n_bytes", T.LongType()), T.StructField("span_starts", T.ArrayType(T.LongType())), T.StructField("span_ends", T.ArrayType(T.LongType())), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     return cells.groupBy("__cell").cogroup(replies.unionByName(verdicts).groupBy("__cell")).applyInArrow(cut, schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpuscube.llm.annotate import annotate, bounded, sigmoid
-from corpuscube.llm.spans import LOWER, U, Prefix, chunks, runs
+from corpuscube.llm.spans import LOWER, U, Prefix, chunks, release, runs
 
 BITS = 18
 BLOCK = 128
@@ -221,6 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
         seen.sort(key=lambda r: r[0])
         if seen:
             model = _learn([r[1] for r in seen], np.array([r[2] for r in seen]), passes)
+            del seen
+            release()
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     made = rows.repartition(1).mapInArrow(learn, "model binary").collect()
