@@ -57,7 +57,7 @@ def collection(spark: SparkSession, root: str) -> DataFrame:
     path; blank ones are skipped."""
     files = _binary(spark, root, "*.{txt,pdf}")
     body = F.when(F.endswith(F.lower("path"), F.lit(".pdf")), pdf_text("content")).otherwise(decode_text("content"))
-    rows = files.select("path", body.alias("text"), "modificationTime").where(F.trim("text") != "")
+    rows = files.select("path", body.alias("text"), "modificationTime").where(F.col("text").rlike(r"\S"))
     name = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
 
     @F.pandas_udf(T.StringType())
