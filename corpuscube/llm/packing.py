@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +104,13 @@ class WordTokens:
         return out, begin
 
 
+@lru_cache(maxsize=2)
+def word_tokens(path: str) -> WordTokens:
+    """One table a worker process, which runs many tasks: what a word's tokens are does not
+    depend on who asks, so later tasks find most words known."""
+    return WordTokens(path)
+
+
 def assign(tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, ...]:
     """Pack documents of these token counts: (document, start, length, sequence, offset)."""
     full = tokens // capacity
@@ -153,7 +161,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
         return pa.RecordBatch.from_arrays(columns, names=["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]), int(sequence.max()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, first = WordTokens(tokenizer), TaskContext.get().partitionId() << 32
+        words, first = word_tokens(tokenizer), TaskContext.get().partitionId() << 32
         keys, parts, held = [], [], 0
         for batch in batches:
             for lo, hi, data, off in chunks(batch.column(1), 1 << 21):
