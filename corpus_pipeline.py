@@ -13,7 +13,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuscube.llm import mixing, packing, repeats, simhash, tables, toxicity
-from corpuscube.llm.annotate import remainder
 from corpuscube.session import reaching
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,8 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.7 stay; the field learns from the labels of
     the documents that are here."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder(F.col("doc_id"), 3) != 1)
-    model = toxicity.fit(docs, labels)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return model.transform(docs.select(*COLUMNS)).where("score < 0.7").select(*COLUMNS)
 
 

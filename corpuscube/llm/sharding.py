@@ -37,7 +37,7 @@ def order_keys(text: Column, key: Column) -> tuple[Column, Column]:
     return F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 1), F.shiftrightunsigned(F.xxhash64(F.lit("key"), key), 1)
 
 
-def splitters(keys: DataFrame, shards: int, tolerance: float = 0.0025) -> list[tuple[int, int]]:
+def splitters(keys: DataFrame, shards: int, tolerance: float = 0.01) -> list[tuple[int, int]]:
     """(k1, k2) from which on a row belongs to the next shard, shards - 1 of them, for keys
     (k1, k2, size).  tolerance: of a shard's ideal size."""
     per_round = max(2, PROBES.bit_length() - 1 - max(1, shards - 1).bit_length())
@@ -98,7 +98,7 @@ def shard_of(k1: Column, k2: Column, at: list[tuple[int, int]]) -> Column:
     return F.size(F.filter(edges, lambda e: (k1 > e["a"]) | ((k1 == e["a"]) & (k2 >= e["b"]))))
 
 
-def shard(docs: DataFrame, shards: int = 16, text: str = "text", key: str = "doc_id", tolerance: float = 0.0025) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, text: str = "text", key: str = "doc_id", tolerance: float = 0.01) -> DataFrame:
     """The rows of docs with size (UTF-8 bytes of the text and one more), text_crc32, shard
     and slot (gapless from 0 within a shard).  Input columns with these names are replaced."""
     made = ["size", "text_crc32", "shard", "slot"]

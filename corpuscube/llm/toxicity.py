@@ -94,6 +94,7 @@ def forward_backward(evidence: np.ndarray, bounds: np.ndarray, start: float, mov
 @dataclass
 class ToxicityModel:
     weights: np.ndarray
+    bias: float
     start: float
     move: np.ndarray
     final: np.ndarray
@@ -101,7 +102,7 @@ class ToxicityModel:
     def marginals(self, found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         if not len(found):
             return np.zeros(0)
-        ahead, back = forward_backward(self.weights[found].sum(1), bounds, self.start, self.move)
+        ahead, back = forward_backward(self.weights[found].sum(1) + self.bias, bounds, self.start, self.move)
         odds = ahead * back
         return odds / (1 + odds)
 
@@ -141,14 +142,24 @@ def summary(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def evident(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Of each word or prefix feature, whether it marks a token as toxic: it occurs in
     toxic documents so much more often than in others that chance does so less than about
-    once in a million times, and three quarters of its documents are toxic."""
+    once in twenty thousand times, and three quarters of its documents are toxic.  Copies of a
+    document are one observation: what counts is after how many different words it occurs."""
     inside = np.zeros((2, 1 << BITS))
     for x, label in zip(found, y, strict=True):
         inside[int(label), np.unique(x[:, : N_FEATURES - 1])] += 1
     n, p0 = inside.sum(0), np.clip(y.mean(), 1e-4, 1 - 1e-4)
     q = np.clip(inside[1] / np.maximum(n, 1), 1e-9, 1 - 1e-9)
     apart = q * np.log(q / p0) + (1 - q) * np.log((1 - q) / (1 - p0))
-    return (q > 0.75) & (n * apart > 14)
+    marks = (q > 0.75) & (n * apart > 10)
+    pairs = [np.zeros(0, np.int64)]
+    for x, label in zip(found, y, strict=True):
+        if label and len(x):
+            before = np.concatenate([[0], x[:-1, 0]]).astype(np.int64)
+            for k in range(N_FEATURES - 1):
+                at = np.flatnonzero(marks[x[:, k]])
+                pairs.append(x[at, k].astype(np.int64) << BITS | before[at])
+    contexts = np.bincount(np.unique(np.concatenate(pairs)) >> BITS, minlength=1 << BITS)
+    return marks & (np.minimum(contexts, n) * apart > 10)
 
 
 def _learn(found: list[np.ndarray], y: np.ndarray, passes: int) -> ToxicityModel:
@@ -156,8 +167,8 @@ def _learn(found: list[np.ndarray], y: np.ndarray, passes: int) -> ToxicityModel
     rng = np.random.default_rng(11)
     toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     used = rng.permutation(np.concatenate([toxic, rng.permutation(clean)[: 2 * len(toxic) + 50]]))
-    w, state = np.zeros(1 << BITS), np.zeros(5)  # state: start, then move row by row
-    gw, gs = np.full(1 << BITS, 1e-3), np.full(5, 1e-3)
+    w, state = np.zeros(1 << BITS), np.zeros(6)  # state: start, then move row by row, then every token's bias
+    gw, gs = np.full(1 << BITS, 1e-3), np.full(6, 1e-3)
     for _ in range(passes):
         for lo in range(0, len(used), 32):
             group = [i for i in used[lo : lo + 32] if len(found[i])]
@@ -166,14 +177,15 @@ def _learn(found: list[np.ndarray], y: np.ndarray, passes: int) -> ToxicityModel
             x = np.concatenate([found[i] for i in group])
             bounds = np.concatenate([[0], np.cumsum([len(found[i]) for i in group])])
             label = np.concatenate([marks[found[i][:, : N_FEATURES - 1]].any(1) * y[i] for i in group]).astype(np.float64)
-            start, move = state[0], state[1:].reshape(2, 2)
-            e = w[x].sum(1)
+            start, move = state[0], state[1:5].reshape(2, 2)
+            e = w[x].sum(1) + state[5]
             ahead, back = forward_backward(e, bounds, start, move)
             p = ahead * back / (1 + ahead * back)
             error = p - label
             g = np.bincount(x.reshape(-1), weights=np.repeat(error, N_FEATURES), minlength=1 << BITS) / len(group)
             at = np.flatnonzero(g)
-            gs_now = np.zeros(5)
+            gs_now = np.zeros(6)
+            gs_now[5] = error.sum() / len(group)
             first = bounds[:-1]
             gs_now[0] = error[first].sum() / len(group)
             inner = np.ones(len(x), bool)
@@ -183,12 +195,12 @@ def _learn(found: list[np.ndarray], y: np.ndarray, passes: int) -> ToxicityModel
             pairs = np.stack([np.exp(move[0, 0]) + 0 * f, np.exp(move[0, 1]) * now * b, np.exp(move[1, 0]) * f, np.exp(move[1, 1]) * f * now * b])
             pairs /= pairs.sum(0)
             u, v = label[inner - 1], label[inner]
-            gs_now[1:] = (pairs - np.stack([(1 - u) * (1 - v), (1 - u) * v, u * (1 - v), u * v])).sum(1) / len(group)
+            gs_now[1:5] = (pairs - np.stack([(1 - u) * (1 - v), (1 - u) * v, u * (1 - v), u * v])).sum(1) / len(group)
             gw[at] += g[at] ** 2
             w[at] -= 0.5 * (g[at] + 1e-4 * w[at]) / np.sqrt(gw[at])
             gs += gs_now**2
             state -= 0.5 * (gs_now + 1e-4 * state) / np.sqrt(gs)
-    model = ToxicityModel(w, float(state[0]), state[1:].reshape(2, 2).copy(), np.zeros(3))
+    model = ToxicityModel(w, float(state[5]), float(state[0]), state[1:5].reshape(2, 2).copy(), np.zeros(3))
     rows = []
     for lo in range(0, len(found), 256):
         part = found[lo : lo + 256]
@@ -226,4 +238,4 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     made = rows.repartition(1).mapInArrow(learn, "model binary").collect()
-    return pickle.loads(made[0]["model"]) if made else ToxicityModel(np.zeros(1 << BITS), 0.0, np.zeros((2, 2)), np.array([-40.0, 0, 0]))
+    return pickle.loads(made[0]["model"]) if made else ToxicityModel(np.zeros(1 << BITS), 0.0, 0.0, np.zeros((2, 2)), np.array([-40.0, 0, 0]))
