@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuscube.functions import values as vl
-from corpuscube.operators import commands as cm, cube as cb, evaluation as ev, langid as li, lexicon as lc, retrieval as rt, summary as sm
+from corpuscube.operators import commands as cm, cube as cb, evaluation as ev, langid as li, lexicon as lc, retrieval as rt, summary as sm, transfer as tr
 from corpuscube.operators.retrieval import SearchParams
 from corpuscube.sources.sinks import marked
 
@@ -117,10 +117,11 @@ def api_summarize(docs: DataFrame, n: int = sm.SENTENCES, diverse: bool = False)
 # --- D -------------------------------------------------------------------------------
 
 
-def api_translate(tokens: DataFrame, entries: DataFrame, domain: str = "general") -> tuple[DataFrame, DataFrame]:
-    """/api/translate, literal mode: sentences, and statistics of each text."""
+def api_translate(tokens: DataFrame, entries: DataFrame, domain: str = "general", mode: str = "transfer") -> tuple[DataFrame, DataFrame]:
+    """/api/translate: sentences, by transfer or word by word (mode literal), and statistics."""
     told = lc.with_fallback(tokens, entries, domain).withColumn("text_id", F.lit(0))
-    return lc.literal(tokens, entries, domain), lc.coverage(told)
+    said = lc.literal(tokens, entries, domain) if mode == "literal" else tr.translate(tokens, entries, domain)
+    return said, lc.coverage(told)
 
 
 def api_dictionary(entries: DataFrame, needle: str = "", **filters) -> DataFrame:
