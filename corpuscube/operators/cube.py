@@ -46,6 +46,17 @@ def _ancestors(level: int) -> list[Column]:
     return [(F.col("code" if part == "code" else "name") if own.get(level) == kind else F.col(f"{kind}_{part}")).alias(f"{kind}_{part}") for kind in ("region", "district") for part in ("code", "name")]
 
 
+def nested_nodes(spark: SparkSession, tree: Mapping | Sequence, code: str = "code", name: str = "name", children: str = "children") -> DataFrame:
+    """(code, name, parent) of a tree of nested objects, as a portal's page holds it, for
+    hierarchy().  One page's tree is small, so it is walked on the driver."""
+    rows, todo = [], [(x, None) for x in ([tree] if isinstance(tree, Mapping) else tree)]
+    while todo:
+        node, parent = todo.pop()
+        rows.append((str(node[code]), " ".join(str(node.get(name) or "").split()), parent))
+        todo += [(x, str(node[code])) for x in node.get(children) or []]
+    return spark.createDataFrame(rows, "code string, name string, parent string")
+
+
 def codes_of_levels(territories: DataFrame, levels: Sequence[int]) -> DataFrame:
     """P11"""
     return territories.where(F.col("level").isin(*levels))

@@ -128,3 +128,9 @@ def test_structure(spark):
     assert entries.count() == 3 and entries.first()["codelist_name"] == "Geo list"
     f = api.values_filter(dims, [2020, 2021], ["1"], {"unit_1": []})
     assert f == {"geo": ["1"], "unit_1": [], "TIME_PERIOD": ["2020", "2021"]}
+
+
+def test_nested_tree(spark):
+    tree = {"code": "1", "name": "Root", "children": [{"code": 2, "name": "A  b", "children": [{"code": "3"}]}, {"code": "4", "name": "C"}]}
+    got = {r["code"]: (r["name"], r["level"]) for r in cb.hierarchy(cb.nested_nodes(spark, tree)).collect()}
+    assert got == {"1": ("Root", 0), "2": ("A b", 1), "3": ("", 2), "4": ("C", 1)}
