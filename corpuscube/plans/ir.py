@@ -209,6 +209,7 @@ SQL = {
     "ir_search_not": _search_sql(["shed", "heat"], ["edly"]),
     "ir_search_fallback": _search_sql(["shed", "xylophone"], all_words=True),
     "ir_search_page2": _search_sql(["shed", "heat", "ingtion"], offset=10),
+    "ir_search_words": f"WITH {_COUNTS}, q AS (SELECT unnest(['shed', 'xylophone']) AS w), k AS (SELECT w, w IN (SELECT term FROM terms) AS known FROM q) SELECT coalesce(list(w ORDER BY w) FILTER (WHERE known), []) AS known, coalesce(list(w ORDER BY w) FILTER (WHERE NOT known), []) AS unknown, 'and' AS mode FROM k",
     "ir_index_info": f"WITH {_COUNTS} SELECT (SELECT count(*) FROM documents) AS documents, count(DISTINCT term) AS terms, count(*) AS postings, sum(tf)::BIGINT AS words FROM counts",
     "ir_metrics": f"WITH {_rank_sql()} SELECT query_id, total_found, total_relevant, found_relevant::BIGINT AS found_relevant, {', '.join(f'round({n}, 9) AS {n}' for n in _NAMES)} FROM metrics",
     "ir_pr_curve": f"WITH {_rank_sql()} SELECT query_id, level, round(precision, 9) AS precision FROM curve",

@@ -140,5 +140,6 @@ SQL = {
     "cmd_match": f"WITH u AS (SELECT conv_id, turn, {_SPACED.format('lower(trim(text))')} AS n, {_SPACED.format(_FOLD)} AS f FROM conversations) SELECT conv_id, turn, CASE WHEN n = '' THEN NULL "
     + " ".join(f"WHEN {_hit_sql(k)} THEN '{a}'" for a, ks in cm.COMMANDS["en"].items() for k in ks)
     + " END AS action FROM u",
+    "tts_sentences": "WITH s AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?…]*[.!?…][”’\"»‹)\\]]*\\s*|[^.!?…]+$') AS x FROM documents), u AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS t FROM s) SELECT doc_id, (sum(length(t)) OVER w - length(t))::INT AS start, (sum(length(t)) OVER w)::INT AS \"end\" FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i)",
     "tts_stats": "SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '\\S+')) AS words, round(words / 150 * 60, 6) AS seconds FROM documents",
 }
