@@ -22,28 +22,27 @@ FACT_COLUMNS = ["fact_id", "indicator_code", "indicator_name_ru", "time_period",
 NULLABLE = ["geo_code", "geo_name_ru", "breakdown_key", "breakdown_value_ru", "obs_attribute", "region_name_ru", "district_name_ru"]
 
 
+_HIERARCHY = """
+WITH RECURSIVE t(code, level, region_code, region_name, district_code, district_name) MAX RECURSION LEVEL {limit} AS (
+  SELECT n.code, 0, CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING)
+  FROM {nodes} n LEFT ANTI JOIN {nodes} p ON p.code = n.parent
+  UNION ALL
+  SELECT n.code, t.level + 1,
+    CASE WHEN t.level = 0 THEN n.code ELSE t.region_code END, CASE WHEN t.level = 0 THEN n.name ELSE t.region_name END,
+    CASE WHEN t.level = 1 THEN n.code ELSE t.district_code END, CASE WHEN t.level = 1 THEN n.name ELSE t.district_name END
+  FROM {nodes} n JOIN t ON n.parent = t.code
+)
+SELECT n.code, n.name, n.parent, coalesce(t.level, {guard}) AS level, t.region_code, t.region_name, t.district_code, t.district_name
+FROM {nodes} n LEFT JOIN t ON t.code = n.code
+"""
+
+
 def hierarchy(nodes: DataFrame, guard: int = GUARD) -> DataFrame:
     """(code, name, parent) with level, and the ancestor of level 1 and of level 2 (the
-    node itself counts).  One join a level, from the roots down; a parent that is not there makes
-    a root; nodes that no root leads to (a cycle) have level `guard` and no ancestors."""
-    rows = nodes.select("code", "name", "parent")
-    known = rows.select(F.col("code").alias("__p")).distinct()
-    none = F.lit(None).cast("string")
-    here = rows.join(known, rows["parent"] == known["__p"], "left_anti").select("*", F.lit(0).alias("level"), none.alias("region_code"), none.alias("region_name"), none.alias("district_code"), none.alias("district_name"))
-    out = here
-    for level in range(1, guard + 1):
-        up = here.select(F.col("code").alias("__p"), "region_code", "region_name", "district_code", "district_name")
-        here = rows.join(up, rows["parent"] == up["__p"]).select("code", "name", "parent", F.lit(level).alias("level"), *_ancestors(level))
-        if here.isEmpty():
-            break
-        out = out.unionByName(here)
-    lost = rows.join(out.select("code"), "code", "left_anti").select("code", "name", "parent", F.lit(guard).alias("level"), none.alias("region_code"), none.alias("region_name"), none.alias("district_code"), none.alias("district_name"))
-    return out.unionByName(lost)
-
-
-def _ancestors(level: int) -> list[Column]:
-    own = {1: "region", 2: "district"}
-    return [(F.col("code" if part == "code" else "name") if own.get(level) == kind else F.col(f"{kind}_{part}")).alias(f"{kind}_{part}") for kind in ("region", "district") for part in ("code", "name")]
+    node itself counts).  A recursive query from the roots down, one join a level; a parent that
+    is not there makes a root; nodes that no root leads to (a cycle) have level `guard` and no
+    ancestors.  Codes are unique."""
+    return nodes.sparkSession.sql(_HIERARCHY, nodes=nodes.select("code", "name", "parent"), guard=guard, limit=100)
 
 
 def nested_nodes(spark: SparkSession, tree: Mapping | Sequence, code: str = "code", name: str = "name", children: str = "children") -> DataFrame:
