@@ -95,5 +95,23 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+# bytes as pairs of hexadecimal digits: a window of 50 bytes is a string of 100 digits
+_OP9 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50),
+s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM w),
+m AS (SELECT g, min(doc_id) AS first FROM s GROUP BY g),
+hit AS (SELECT doc_id, i FROM s JOIN m USING (g) WHERE first < doc_id),
+mark AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM hit),
+run AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM mark),
+span AS (SELECT doc_id, r, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY ALL),
+gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM span),
+cut AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, max(b) AS last, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS kept FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+ sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_topk": _OP10}
+    return {"op9_repeats": _OP9, "op10_topk": _OP10}
