@@ -321,8 +321,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ke
         return (fp,) if similarity is None else (fp, _least(h, edges))
 
     prints = stored(annotate(docs, text, [key, *keep], fields, lambda: prints_of), "simhash-prints")
-    first = F.min(F.struct(F.col(key).alias("least"), *(["keys"] if similarity is not None else []))).alias("x")
-    each = stored(prints.groupBy("fp").agg(first, F.count(F.lit(1)).alias("n")).select("fp", "x.*", "n"), "simhash-distinct")
+    # null keys are never the smallest
+    first = [F.min(key).alias("least")] + ([] if similarity is None else [F.min_by("keys", F.struct(F.col(key).isNull(), F.col(key))).alias("keys")])
+    each = stored(prints.groupBy("fp").agg(*first, F.count(F.lit(1)).alias("n")), "simhash-distinct")
     if similarity is None:
         edges = linked(by_parts(each, radius), radius)
     else:

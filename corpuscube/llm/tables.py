@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +16,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="corpuscube-")
+        folder = tempfile.mkdtemp(prefix="corpuscube-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 

@@ -142,6 +142,12 @@ def test_near_duplicates_by_similarity(spark):
     assert got == {5: 2, 2: 2, 3: 3, 4: 4, 6: 6, 7: 6, 8: 8, 9: 8}
 
 
+def test_rows_without_an_id_share_their_component(spark):
+    df = spark.createDataFrame([(None, "a b c"), (7, "a b c"), (5, "A b c"), (None, "other")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in simhash.near_duplicates(df).where("fingerprint <> ''").collect() if r["component_id"])
+    assert got == [(0, 5), (5, 5), (7, 5)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (200, 200)] + [(300, j) for j in range(301, 360)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
