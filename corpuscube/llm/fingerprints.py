@@ -153,7 +153,7 @@ def edited_neighbours(docs: DataFrame, text: str = "text", key: str = "doc_id")
     here = ranges.bisect(F.col("o"), bounds)
     copies = F.when(also.isNotNull(), F.array(F.struct(here.alias("b"), F.lit(0).alias("s")), F.struct(also.alias("b"), F.lit(1).alias("s")))).otherwise(F.array(F.struct(here.alias("b"), F.lit(0).alias("s"))))
     dealt = rows.withColumn("at", F.explode(copies)).select(F.col("at.b").alias("b"), F.col("at.s").alias("s"), "o", "id", "x")
-    dealt = dealt.repartition(parts, "b").sortWithinPartitions("b", "s", "o", "x")
+    dealt = dealt.repartitionById(parts, F.col("b")).sortWithinPartitions("b", "s", "o", "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
