@@ -12,7 +12,9 @@ That finds every link of a small radius.  Texts whose shingles are alike by four
 differ in up to a dozen bits; for such a radius the parts would be too short, so buckets can
 instead be the least hashes of the texts' shingles under KEYS orders (two such texts share
 none of them once in 15,000 times), and the forest's links, nearest first, are then held
-against the exact share of common shingles.
+against the exact share of common shingles.  A forest's links may fail where others would
+not, so buckets whose texts are not of one component after that get the texts' shingles, and
+all pairs of different components are held against them.
 
 Only distinct fingerprints are compared, so exact copies cost an aggregate.  The exact
 components come from star contraction.
@@ -41,6 +43,8 @@ RADIUS = 2
 TILE = 4096
 SMALL = 64
 KEYS = 6
+#: Of sets of shingles that are compared with each other: how many, and how many shingles.
+SETS, SHINGLES = 1024, 1 << 20
 _ORDERS = [U(pow(0x9E3779B97F4A7C15, 2 * k + 3, 1 << 64)) for k in range(KEYS)]
 _P1, _P2, _P3, _P4, _P5 = (U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -143,6 +147,15 @@ def _least(h: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
     return [row.view(np.int64) if ok else row[:0].view(np.int64) for row, ok in zip(out, some.tolist(), strict=True)]
 
 
+def distinct(h: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct hashes, sorted, and their bounds."""
+    owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    h = h[np.lexsort((h, owner))]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[first], np.concatenate([[0], np.cumsum(first)])[edges]
+
+
 def planes(values: np.ndarray) -> np.ndarray:
     """64 bit planes of n values, 64 values to a word; bits beyond n are 0."""
     bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -290,45 +303,141 @@ def linked(keyed: DataFrame, radius: int = RADIUS) -> DataFrame:
     return spread.select("fp", "g").mapInArrow(run, "u bigint, v bigint")
 
 
-def _held(edges: DataFrame, each: DataFrame, docs: DataFrame, text: str, key: str, size: int, similarity: float) -> DataFrame:
-    """The edges whose texts share at least `similarity` of their distinct shingles; a
-    fingerprint stands for its text of the smallest id."""
-    edges = stored(edges.distinct(), "simhash-edges")
-    ends = edges.select(F.col("u").alias("fp")).union(edges.select("v")).distinct().join(each, "fp").select("fp", F.col("least").alias("__k"))
+def _sets(nodes: DataFrame, each: DataFrame, docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
+    """(fp, s): the distinct shingles of the fingerprints `nodes`; a fingerprint stands for its
+    text of the smallest id."""
+    ends = nodes.join(each, "fp").select("fp", F.col("least").alias("__k"))
     texts = docs.select(F.col(key).alias("__k"), F.col(text).alias("x")).join(ends, "__k")
 
     def sets(data: np.ndarray, off: np.ndarray) -> tuple:
-        h, at = shingles(data, off, size)
-        return ([np.unique(h[i:j]).view(np.int64) for i, j in zip(at[:-1], at[1:], strict=True)],)
+        h, at = distinct(*shingles(data, off, size))
+        return ([h[i:j].view(np.int64) for i, j in zip(at[:-1], at[1:], strict=True)],)
+
+    return annotate(texts, "x", ["fp"], [("s", "array<bigint>")], lambda: sets).groupBy("fp").agg(F.first("s").alias("s"))
 
-    texts = annotate(texts, "x", ["fp"], [("s", "array<bigint>")], lambda: sets).groupBy("fp").agg(F.first("s").alias("s"))
-    pairs = edges.join(texts.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(texts.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
+
+def _held(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges whose texts share at least `similarity` of their distinct shingles."""
+    pairs = edges.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return pairs.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
+def alike(h: np.ndarray, at: np.ndarray, root: np.ndarray, low: np.ndarray, tile: np.ndarray, similarity: float, allowed=None) -> list[tuple[int, int]]:
+    """Links that connect the sets h[at[i] : at[i + 1]], of components `root`, as all pairs
+    would that share `similarity`; not those of two low sets or, of two tiles, of one."""
+    n, size = len(root), np.diff(at)
+    owner, alive = np.repeat(np.arange(n), size), np.ones(n, bool)
+    _, code, often = np.unique(h, return_inverse=True, return_counts=True)
+    while True:  # a set that shares too few of its shingles with all others has no partner
+        few = alive & (np.bincount(owner, often[code] > 1, n) < similarity * size)
+        if not few.any():
+            break
+        alive &= ~few
+        owner, code = owner[alive[owner]], code[alive[owner]]
+        often = np.bincount(code, minlength=len(often))
+    if alive.sum() < 2:
+        return []
+    owner, code = owner[often[code] > 1], code[often[code] > 1]
+    post = owner[np.argsort(code, kind="stable")]
+    begin = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(often)))])
+    mine = np.searchsorted(owner, np.arange(n + 1))
+    _, root, members = np.unique(root, return_inverse=True, return_counts=True)
+    across = tile.min() != tile.max()
+    out = []
+    for i in np.argsort(members[root], kind="stable").tolist():  # the smallest components first
+        if not alive[i]:
+            continue
+        alive[i] = False
+        may = alive & (root != root[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]))
+        if low[i]:
+            may &= ~low
+        if across:
+            may &= tile != tile[i]
+        if allowed is not None:
+            may &= allowed(i)
+        if not may.any():
+            continue
+        first = begin[code[mine[i] : mine[i + 1]]]
+        many = begin[code[mine[i] : mine[i + 1]] + 1] - first
+        common = np.bincount(post[np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())], minlength=n)
+        hit = np.flatnonzero(may & (common >= similarity * (size[i] + size - common)))
+        for other, j in zip(*np.unique(root[hit], return_index=True), strict=True):
+            out.append((i, int(hit[j])))
+            root[root == other] = root[i]
+    return out
+
+
+def _missed(each: DataFrame, edges: DataFrame, sets_of, similarity: float, radius: int) -> DataFrame:
+    """Edges (u, v) that connect what `edges` leave apart as all links of similar sets would
+    that meet in a bucket.  Sets meet by size, too, since similar ones are of one class of
+    sizes or of neighbouring ones."""
+    spark = each.sparkSession
+    root = components(edges).select(F.col("node").alias("fp"), "root")
+    keyed = each.join(root, "fp", "left").select("fp", "size", F.coalesce("root", "fp").alias("root"), F.posexplode("keys").alias("t", "k"))
+    of = F.floor(F.log("size") * ((1 - 1e-9) / max(-float(np.log(similarity)), 1e-6)))
+    either = F.array(F.struct(of.alias("c"), F.lit(False).alias("low")), F.struct((of + 1).alias("c"), F.lit(True).alias("low")))
+    keyed = keyed.withColumn("x", F.explode(either)).select("fp", "size", "root", "t", "k", "x.c", "x.low")
+    open_ = keyed.groupBy("t", "k", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("low").alias("lows"))
+    keyed = stored(keyed.join(open_.where("r0 < r1 and not lows").select("t", "k", "c", "n", "w"), ["t", "k", "c"]), "simhash-open")
+    tiles = F.greatest(F.ceil(F.col("n") / SETS), F.ceil(F.col("w") / SHINGLES))
+    mine = F.pmod(F.xxhash64(F.lit("tile"), "fp"), tiles)
+    keyed = keyed.select("fp", "root", "low", "t", "k", "c", mine.alias("mine"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    keyed = keyed.select("fp", "root", "low", "mine", F.xxhash64("t", "k", "c", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"))
+    sets = sets_of(keyed.select("fp").distinct())
+    spread = keyed.join(sets, "fp").repartition(width(spark), "g").sortWithinPartitions("g").select("g", "fp", "root", "low", "mine", "s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(group: pa.Table) -> pa.RecordBatch:
+            fp, root, low, tile = (group.column(k).to_numpy() for k in range(1, 5))
+            s = group.column(5).combine_chunks()
+            at = np.concatenate([[0], np.cumsum(s.value_lengths().to_numpy())])
+            prints = fp.view(np.uint64)
+            made = alike(s.flatten().to_numpy(), at, root, low, tile, similarity, lambda i: np.bitwise_count(prints ^ prints[i]) <= radius)
+            return pa.RecordBatch.from_arrays([pa.array(fp[[x[k] for x in made]], pa.int64()) for k in range(2)], names=["u", "v"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            g = batch.column(0).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]]).tolist()
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    if held and held[0].column(0)[0].as_py() != g[lo]:
+                        yield done(pa.Table.from_batches(held))
+                        held = []
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    return spread.mapInArrow(run, "u bigint, v bigint")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: Sequence[str] = (), shingle: int = 3, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """The key and the columns `keep` of every row, fingerprint (16 hexadecimal digits) and
     component_id, the smallest key that a row's component holds.
 
     similarity None: all fingerprints within radius are linked.  Else those are that also
     share one of KEYS least shingles and as large a part of all their shingles."""
-    fields = [("fp", "bigint")] + ([] if similarity is None else [("keys", "array<bigint>")])
+    fields = [("fp", "bigint")] + ([] if similarity is None else [("keys", "array<bigint>"), ("size", "bigint")])
 
     def prints_of(data: np.ndarray, off: np.ndarray) -> tuple:
         h, edges = shingles(data, off, shingle)
         fp = _majority(h, edges).view(np.int64)
-        return (fp,) if similarity is None else (fp, _least(h, edges))
+        return (fp,) if similarity is None else (fp, _least(h, edges), np.diff(distinct(h, edges)[1]))
 
     prints = stored(annotate(docs, text, [key, *keep], fields, lambda: prints_of), "simhash-prints")
     # null keys are never the smallest
-    first = [F.min(key).alias("least")] + ([] if similarity is None else [F.min_by("keys", F.struct(F.col(key).isNull(), F.col(key))).alias("keys")])
+    first = [F.min(key).alias("least")] + ([] if similarity is None else [F.min_by(c, F.struct(F.col(key).isNull(), F.col(key))).alias(c) for c in ("keys", "size")])
     each = stored(prints.groupBy("fp").agg(*first, F.count(F.lit(1)).alias("n")), "simhash-distinct")
     if similarity is None:
         edges = linked(by_parts(each, radius), radius)
     else:
         edges = linked(each.select("fp", F.posexplode("keys").alias("t", "k")), radius)
-        edges = _held(edges, each, docs, text, key, shingle, similarity)
+        sets_of = lambda nodes: _sets(nodes, each, docs, text, key, shingle)
+        edges = stored(edges.distinct(), "simhash-edges")
+        ends = edges.select(F.col("u").alias("fp")).union(edges.select("v")).distinct()
+        edges = stored(_held(edges, sets_of(ends), similarity), "simhash-held")
+        edges = edges.unionByName(_missed(each, edges, sets_of, similarity, radius))
     root = components(edges)
     of = each.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("members"))

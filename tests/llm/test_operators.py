@@ -142,6 +142,41 @@ def test_near_duplicates_by_similarity(spark):
     assert got == {5: 2, 2: 2, 3: 3, 4: 4, 6: 6, 7: 6, 8: 8, 9: 8}
 
 
+def by_similarity(texts, size=5, least=0.8):
+    """Of each text, the position of the first text of its component, all pairs compared."""
+    words = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for w in words]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= least * len(a | sets[j]):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+def found_similar(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, shingle=5, radius=14, similarity=0.8).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_similar_texts_between_others_are_found(spark):
+    """A template's edited copies: most pairs are near in bits and not alike by 0.8, some are."""
+    rng = np.random.default_rng(1)
+    base, texts = [f"w{i}" for i in rng.integers(0, 5000, 280)], []
+    for k in range(100):
+        t = base[:]
+        for i in rng.choice(280, 4, replace=False):
+            t[i] = f"e{k}x{i}"
+        texts.append(" ".join(t))
+    prints = simhash.simhashes(*text(*texts), 5)
+    texts = [t for i, t in enumerate(texts) if not any(np.bitwise_count(prints[i] ^ prints[j]) > 14 and by_similarity([t, texts[j]]) == [0, 0] for j in range(i))]
+    want = by_similarity(texts)
+    assert 20 < len(set(want)) < len(texts) - 20
+    assert found_similar(spark, texts) == want
+
+
 def test_rows_without_an_id_share_their_component(spark):
     df = spark.createDataFrame([(None, "a b c"), (7, "a b c"), (5, "A b c"), (None, "other")], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["component_id"]) for r in simhash.near_duplicates(df).where("fingerprint <> ''").collect() if r["component_id"])
