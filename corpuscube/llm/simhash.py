@@ -9,12 +9,13 @@ blocks of pairs that all exceed the radius are abandoned.  A bucket sends the ed
 forest only, and a bucket of more than TILE fingerprints is cut into pairs of tiles.
 
 That finds every link of a small radius.  Texts whose shingles are alike by four fifths
-differ in up to a dozen bits; for such a radius the parts would be too short, so buckets can
-instead be the least hashes of the texts' shingles under KEYS orders (two such texts share
-none of them once in 15,000 times), and the forest's links, nearest first, are then held
-against the exact share of common shingles.  A forest's links may fail where others would
-not, so buckets whose texts are not of one component after that get the texts' shingles, and
-all pairs of different components are held against them.
+differ in ten bits on average, with no bound; for such a radius the parts would be too short,
+so buckets can instead be the least hashes of the texts' shingles under KEYS orders (two such
+texts share none of them once in 15,000 times), and the forest's links, nearest first, are
+then held against the exact share of common shingles.  A forest's links may fail where others
+would not, and alike texts may lie beyond the radius, so buckets whose texts are not of one
+component after that get the texts' shingles, and all pairs of different components are held
+against them, whatever their distance.
 
 Only distinct fingerprints are compared, so exact copies cost an aggregate.  The exact
 components come from star contraction.
@@ -323,7 +324,7 @@ def _held(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
-def alike(h: np.ndarray, at: np.ndarray, root: np.ndarray, low: np.ndarray, tile: np.ndarray, similarity: float, allowed=None) -> list[tuple[int, int]]:
+def alike(h: np.ndarray, at: np.ndarray, root: np.ndarray, low: np.ndarray, tile: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Links that connect the sets h[at[i] : at[i + 1]], of components `root`, as all pairs
     would that share `similarity`; not those of two low sets or, of two tiles, of one."""
     n, size = len(root), np.diff(at)
@@ -354,8 +355,6 @@ def alike(h: np.ndarray, at: np.ndarray, root: np.ndarray, low: np.ndarray, tile
             may &= ~low
         if across:
             may &= tile != tile[i]
-        if allowed is not None:
-            may &= allowed(i)
         if not may.any():
             continue
         first = begin[code[mine[i] : mine[i + 1]]]
@@ -368,7 +367,7 @@ def alike(h: np.ndarray, at: np.ndarray, root: np.ndarray, low: np.ndarray, tile
     return out
 
 
-def _missed(each: DataFrame, edges: DataFrame, sets_of, similarity: float, radius: int) -> DataFrame:
+def _missed(each: DataFrame, edges: DataFrame, sets_of, similarity: float) -> DataFrame:
     """Edges (u, v) that connect what `edges` leave apart as all links of similar sets would
     that meet in a bucket.  Sets meet by size, too, since similar ones are of one class of
     sizes or of neighbouring ones."""
@@ -392,8 +391,7 @@ def _missed(each: DataFrame, edges: DataFrame, sets_of, similarity: float, radiu
             fp, root, low, tile = (group.column(k).to_numpy() for k in range(1, 5))
             s = group.column(5).combine_chunks()
             at = np.concatenate([[0], np.cumsum(s.value_lengths().to_numpy())])
-            prints = fp.view(np.uint64)
-            made = alike(s.flatten().to_numpy(), at, root, low, tile, similarity, lambda i: np.bitwise_count(prints ^ prints[i]) <= radius)
+            made = alike(s.flatten().to_numpy(), at, root, low, tile, similarity)
             return pa.RecordBatch.from_arrays([pa.array(fp[[x[k] for x in made]], pa.int64()) for k in range(2)], names=["u", "v"])
 
         held: list[pa.RecordBatch] = []
@@ -416,8 +414,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ke
     """The key and the columns `keep` of every row, fingerprint (16 hexadecimal digits) and
     component_id, the smallest key that a row's component holds.
 
-    similarity None: all fingerprints within radius are linked.  Else those are that also
-    share one of KEYS least shingles and as large a part of all their shingles."""
+    similarity None: all fingerprints within radius are linked.  Else texts are that share one
+    of KEYS least shingles and as large a part of all their distinct shingles; the radius only
+    says which of them are tried first."""
     fields = [("fp", "bigint")] + ([] if similarity is None else [("keys", "array<bigint>"), ("size", "bigint")])
 
     def prints_of(data: np.ndarray, off: np.ndarray) -> tuple:
@@ -437,7 +436,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ke
         edges = stored(edges.distinct(), "simhash-edges")
         ends = edges.select(F.col("u").alias("fp")).union(edges.select("v")).distinct()
         edges = stored(_held(edges, sets_of(ends), similarity), "simhash-held")
-        edges = edges.unionByName(_missed(each, edges, sets_of, similarity, radius))
+        edges = edges.unionByName(_missed(each, edges, sets_of, similarity))
     root = components(edges)
     of = each.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("members"))

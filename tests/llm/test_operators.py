@@ -177,6 +177,18 @@ def test_similar_texts_between_others_are_found(spark):
     assert found_similar(spark, texts) == want
 
 
+def test_similar_texts_beyond_the_radius_are_found(spark):
+    """One line, repeated in one of two copies only, moves the fingerprint and few distinct shingles."""
+    rng = np.random.default_rng(2)
+    texts = []
+    for k in range(4):
+        base = " ".join(f"w{i}" for i in rng.integers(0, 5000, 200))
+        texts += [base, base + 100 * f" one line{k} that page{k} says again{k} and again{k}"]
+    prints = simhash.simhashes(*text(*texts), 5)
+    assert (np.bitwise_count(prints[::2] ^ prints[1::2]) > 14).all()
+    assert found_similar(spark, texts) == by_similarity(texts) == [0, 0, 2, 2, 4, 4, 6, 6]
+
+
 def test_rows_without_an_id_share_their_component(spark):
     df = spark.createDataFrame([(None, "a b c"), (7, "a b c"), (5, "A b c"), (None, "other")], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["component_id"]) for r in simhash.near_duplicates(df).where("fingerprint <> ''").collect() if r["component_id"])
