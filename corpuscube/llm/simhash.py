@@ -17,11 +17,12 @@ would not, and alike texts may lie beyond the radius, so buckets whose texts are
 component after that get the texts' shingles, and all pairs of different components are held
 against them, whatever their distance.
 
-Only distinct fingerprints are compared, so exact copies cost an aggregate.  The exact
+Only distinct fingerprints are compared, where similarity is asked for only distinct sets of
+shingles (by a hash of 64 bits of the whole set), so exact copies cost an aggregate.  The exact
 components come from star contraction.
 
 Defined results: texts without a word, null ones among them, have fingerprint 0, which is
-linked like any other.  A component is named by its smallest id; rows without an id have
+linked like any other, and by similarity the empty set.  A component is named by its smallest id; rows without an id have
 their component's all the same.
 """
 
@@ -274,52 +275,61 @@ def by_parts(prints: DataFrame, radius: int) -> DataFrame:
 
 def linked(keyed: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (u, v) that connect the distinct fingerprints of buckets (fp, t, k) as all links
-    within radius in any bucket would."""
+    within radius in any bucket would; where there is a column `node`, the edges are of nodes."""
     spark = keyed.sparkSession
+    names = ["node", "fp"] if "node" in keyed.columns else ["fp"]
     keyed = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("t", "k"))).where("n > 1")
     tiles = F.ceil(F.col("n") / TILE)
-    mine = F.pmod(F.xxhash64(F.lit("tile"), "fp"), tiles)
-    keyed = keyed.select("fp", "t", "k", "n", mine.alias("mine"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
-    keyed = keyed.select("fp", F.xxhash64("t", "k", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"))
-    spread = keyed.repartition(width(spark), "g").sortWithinPartitions("g", "fp")
+    mine = F.pmod(F.xxhash64(F.lit("tile"), names[0]), tiles)
+    keyed = keyed.select(*names, "t", "k", "n", mine.alias("mine"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    keyed = keyed.select(*names, F.xxhash64("t", "k", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"))
+    spread = keyed.repartition(width(spark), "g").sortWithinPartitions("g", names[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fp, g = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        node, fp, g = (np.zeros(0, np.int64) for _ in range(3))
 
-        def done(fp: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
+        def done(node: np.ndarray, fp: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
             prints = fp.view(np.uint64)
             a, b = links(prints, g, radius)
             used = forest(len(fp), a, b, np.bitwise_count(prints[a] ^ prints[b]))
-            return pa.RecordBatch.from_arrays([pa.array(fp[a[used]]), pa.array(fp[b[used]])], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(node[a[used]]), pa.array(node[b[used]])], names=["u", "v"])
 
         for batch in batches:
-            fp, g = np.concatenate([fp, batch.column(0).to_numpy()]), np.concatenate([g, batch.column(1).to_numpy()])
+            node, fp, g = (np.concatenate([old, batch.column(k).to_numpy()]) for old, k in zip((node, fp, g), (0, len(names) - 1, len(names)), strict=True))
             if len(g) and g[0] != g[-1]:
                 cut = int(np.searchsorted(g, g[-1]))  # the last group may go on
-                yield done(fp[:cut], g[:cut])
-                fp, g = fp[cut:], g[cut:]
+                yield done(node[:cut], fp[:cut], g[:cut])
+                node, fp, g = node[cut:], fp[cut:], g[cut:]
         if len(g):
-            yield done(fp, g)
+            yield done(node, fp, g)
 
-    return spread.select("fp", "g").mapInArrow(run, "u bigint, v bigint")
+    return spread.select(*names, "g").mapInArrow(run, "u bigint, v bigint")
+
+
+def _nodes(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Of each text, a hash of its distinct shingles as they are here, sorted."""
+    return np.array([xxhash.xxh64_intdigest(h[i:j].tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)], np.uint64).view(np.int64)
 
 
 def _sets(nodes: DataFrame, each: DataFrame, docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
-    """(fp, s): the distinct shingles of the fingerprints `nodes`; a fingerprint stands for its
-    text of the smallest id."""
-    ends = nodes.join(each, "fp").select("fp", F.col("least").alias("__k"))
-    texts = docs.select(F.col(key).alias("__k"), F.col(text).alias("x")).join(ends, "__k")
+    """(node, s): the distinct shingles of `nodes`, from the texts of their smallest ids; other
+    texts of these ids fall away, and texts without an id are all looked at."""
 
     def sets(data: np.ndarray, off: np.ndarray) -> tuple:
         h, at = distinct(*shingles(data, off, size))
-        return ([h[i:j].view(np.int64) for i, j in zip(at[:-1], at[1:], strict=True)],)
+        return _nodes(h, at), [h[i:j].view(np.int64) for i, j in zip(at[:-1], at[1:], strict=True)]
 
-    return annotate(texts, "x", ["fp"], [("s", "array<bigint>")], lambda: sets).groupBy("fp").agg(F.first("s").alias("s"))
+    ends = nodes.join(each, "node").select(F.col("node").alias("of"), F.col("least").alias("__k"))
+    texts = docs.select(F.col(key).alias("__k"), F.col(text).alias("x"))
+    known = texts.join(ends, "__k").select("of", "x").unionByName(texts.where("__k is null").select(F.lit(None).cast("bigint").alias("of"), "x"))
+    known = annotate(known, "x", ["of"], [("node", "bigint"), ("s", "array<bigint>")], lambda: sets)
+    known = known.where("of is null or of = node").select("node", "s").join(nodes, "node", "leftsemi")
+    return known.groupBy("node").agg(F.first("s").alias("s"))
 
 
 def _held(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The edges whose texts share at least `similarity` of their distinct shingles."""
-    pairs = edges.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
+    pairs = edges.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return pairs.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
 
@@ -372,27 +382,27 @@ def _missed(each: DataFrame, edges: DataFrame, sets_of, similarity: float) -> Da
     that meet in a bucket.  Sets meet by size, too, since similar ones are of one class of
     sizes or of neighbouring ones."""
     spark = each.sparkSession
-    root = components(edges).select(F.col("node").alias("fp"), "root")
-    keyed = each.join(root, "fp", "left").select("fp", "size", F.coalesce("root", "fp").alias("root"), F.posexplode("keys").alias("t", "k"))
+    root = components(edges).select("node", "root")
+    keyed = each.join(root, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), F.posexplode("keys").alias("t", "k"))
     of = F.floor(F.log("size") * ((1 - 1e-9) / max(-float(np.log(similarity)), 1e-6)))
     either = F.array(F.struct(of.alias("c"), F.lit(False).alias("low")), F.struct((of + 1).alias("c"), F.lit(True).alias("low")))
-    keyed = keyed.withColumn("x", F.explode(either)).select("fp", "size", "root", "t", "k", "x.c", "x.low")
+    keyed = keyed.withColumn("x", F.explode(either)).select("node", "size", "root", "t", "k", "x.c", "x.low")
     open_ = keyed.groupBy("t", "k", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("low").alias("lows"))
     keyed = stored(keyed.join(open_.where("r0 < r1 and not lows").select("t", "k", "c", "n", "w"), ["t", "k", "c"]), "simhash-open")
     tiles = F.greatest(F.ceil(F.col("n") / SETS), F.ceil(F.col("w") / SHINGLES))
-    mine = F.pmod(F.xxhash64(F.lit("tile"), "fp"), tiles)
-    keyed = keyed.select("fp", "root", "low", "t", "k", "c", mine.alias("mine"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
-    keyed = keyed.select("fp", "root", "low", "mine", F.xxhash64("t", "k", "c", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"))
-    sets = sets_of(keyed.select("fp").distinct())
-    spread = keyed.join(sets, "fp").repartition(width(spark), "g").sortWithinPartitions("g").select("g", "fp", "root", "low", "mine", "s")
+    mine = F.pmod(F.xxhash64(F.lit("tile"), "node"), tiles)
+    keyed = keyed.select("node", "root", "low", "t", "k", "c", mine.alias("mine"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    keyed = keyed.select("node", "root", "low", "mine", F.xxhash64("t", "k", "c", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"))
+    sets = sets_of(keyed.select("node").distinct())
+    spread = keyed.join(sets, "node").repartition(width(spark), "g").sortWithinPartitions("g").select("g", "node", "root", "low", "mine", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(group: pa.Table) -> pa.RecordBatch:
-            fp, root, low, tile = (group.column(k).to_numpy() for k in range(1, 5))
+            node, root, low, tile = (group.column(k).to_numpy() for k in range(1, 5))
             s = group.column(5).combine_chunks()
             at = np.concatenate([[0], np.cumsum(s.value_lengths().to_numpy())])
             made = alike(s.flatten().to_numpy(), at, root, low, tile, similarity)
-            return pa.RecordBatch.from_arrays([pa.array(fp[[x[k] for x in made]], pa.int64()) for k in range(2)], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(node[[x[k] for x in made]], pa.int64()) for k in range(2)], names=["u", "v"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -417,29 +427,33 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ke
     similarity None: all fingerprints within radius are linked.  Else texts are that share one
     of KEYS least shingles and as large a part of all their distinct shingles; the radius only
     says which of them are tried first."""
-    fields = [("fp", "bigint")] + ([] if similarity is None else [("keys", "array<bigint>"), ("size", "bigint")])
+    node = "fp" if similarity is None else "node"
+    fields = [("fp", "bigint")] + ([] if similarity is None else [("node", "bigint"), ("keys", "array<bigint>"), ("size", "bigint")])
 
     def prints_of(data: np.ndarray, off: np.ndarray) -> tuple:
         h, edges = shingles(data, off, shingle)
         fp = _majority(h, edges).view(np.int64)
-        return (fp,) if similarity is None else (fp, _least(h, edges), np.diff(distinct(h, edges)[1]))
+        if similarity is None:
+            return (fp,)
+        h, edges = distinct(h, edges)
+        return fp, _nodes(h, edges), _least(h, edges), np.diff(edges)
 
     prints = stored(annotate(docs, text, [key, *keep], fields, lambda: prints_of), "simhash-prints")
     # null keys are never the smallest
-    first = [F.min(key).alias("least")] + ([] if similarity is None else [F.min_by(c, F.struct(F.col(key).isNull(), F.col(key))).alias(c) for c in ("keys", "size")])
-    each = stored(prints.groupBy("fp").agg(*first, F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    first = [F.min(key).alias("least")] + ([] if similarity is None else [F.min_by(c, F.struct(F.col(key).isNull(), F.col(key))).alias(c) for c in ("fp", "keys", "size")])
+    each = stored(prints.groupBy(node).agg(*first, F.count(F.lit(1)).alias("n")), "simhash-distinct")
     if similarity is None:
         edges = linked(by_parts(each, radius), radius)
     else:
-        edges = linked(each.select("fp", F.posexplode("keys").alias("t", "k")), radius)
+        edges = linked(each.select("node", "fp", F.posexplode("keys").alias("t", "k")), radius)
         sets_of = lambda nodes: _sets(nodes, each, docs, text, key, shingle)
         edges = stored(edges.distinct(), "simhash-edges")
-        ends = edges.select(F.col("u").alias("fp")).union(edges.select("v")).distinct()
+        ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
         edges = stored(_held(edges, sets_of(ends), similarity), "simhash-held")
         edges = edges.unionByName(_missed(each, edges, sets_of, similarity))
     root = components(edges)
-    of = each.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    of = each.join(root.select(F.col("node").alias(node), "root"), node, "left").select(node, "least", "n", F.coalesce("root", node).alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("members"))
-    of = of.join(least.where("members > 1"), "root").select("fp", "component_id")
-    out = prints.join(of, "fp", "left")
+    of = of.join(least.where("members > 1"), "root").select(node, "component_id")
+    out = prints.join(of, node, "left")
     return out.select(key, *keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", key).alias("component_id"))

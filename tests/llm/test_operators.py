@@ -189,6 +189,18 @@ def test_similar_texts_beyond_the_radius_are_found(spark):
     assert found_similar(spark, texts) == by_similarity(texts) == [0, 0, 2, 2, 4, 4, 6, 6]
 
 
+def test_texts_of_one_fingerprint_are_told_apart(spark):
+    """One line outweighs all else: fingerprints are equal, the texts are not, and each has a near copy."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(3):
+        own = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+        for last in ("here", "there"):
+            texts.append(" ".join([*own, last]) + 200 * " one line of nine words that says little again")
+    assert len(np.unique(simhash.simhashes(*text(*texts), 5))) == 1
+    assert found_similar(spark, texts) == by_similarity(texts) == [0, 0, 2, 2, 4, 4]
+
+
 def test_rows_without_an_id_share_their_component(spark):
     df = spark.createDataFrame([(None, "a b c"), (7, "a b c"), (5, "A b c"), (None, "other")], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["component_id"]) for r in simhash.near_duplicates(df).where("fingerprint <> ''").collect() if r["component_id"])
