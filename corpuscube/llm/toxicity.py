@@ -165,8 +165,7 @@ def evident(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 def _learn(found: list[np.ndarray], y: np.ndarray, passes: int) -> ToxicityModel:
     marks = evident(found, y)
     rng = np.random.default_rng(11)
-    toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    used = rng.permutation(np.concatenate([toxic, rng.permutation(clean)[: 2 * len(toxic) + 50]]))
+    used = rng.permutation(len(y))
     w, state = np.zeros(1 << BITS), np.zeros(6)  # state: start, then move row by row, then every token's bias
     gw, gs = np.full(1 << BITS, 1e-3), np.full(6, 1e-3)
     for _ in range(passes):
@@ -216,8 +215,8 @@ def _learn(found: list[np.ndarray], y: np.ndarray, passes: int) -> ToxicityModel
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", most: int = 9000, passes: int = 4) -> ToxicityModel:
-    """Learn from about `most` labelled rows at most, chosen by a hash of the key; that
-    bounds what the one learning task holds, whatever the input."""
+    """Learn from about `most` labelled rows at most, chosen by a hash of the key, and from all
+    of those; that bounds what the one learning task holds, whatever the input."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("__y"))
     picked = bounded(known, key, most)
     rows = docs.select(key, F.col(text).alias("__x")).join(F.broadcast(picked), key)

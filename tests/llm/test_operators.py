@@ -235,6 +235,15 @@ def test_field_messages():
         assert np.allclose(want[:, 1] / want.sum(1), p[lo:hi])
 
 
+def test_the_field_learns_from_every_labelled_row():
+    """Each clean text has a word of its own; before, 2 * toxic + 50 clean rows taught the field."""
+    clean = [f"{''.join(chr(97 + i // 26**k % 26) for k in range(3))}plain words of common speech" for i in range(300)]
+    _, _, bounds, found = toxicity.tokens(*text(*clean, *["vile words of common speech"] * 4))
+    rows = [found[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    model = toxicity._learn(rows, np.array([0.0] * 300 + [1.0] * 4), 1)
+    assert all(model.weights[x[0, 0]] != 0 for x in rows[:300])
+
+
 def test_toxic_spans(spark):
     clean = [(i, f"plain words number {i} and more of them", 0) for i in range(200)]
     bad = [(i, f"plain words with n{chr(97 + i % 26)} badword{'x' if i % 2 else ''} and more {i}", 1) for i in range(200, 260)]
