@@ -12,11 +12,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from corpuscube.functions import text as tx
 
+#: Hits that a page-wise search ranks unless it is told otherwise; evaluation ranks all.
 MOST_HITS = 10_000
+#: Scores are sums of weights of so many decimal places, which no order of summation changes.
+PLACES = "decimal(28,9)"
 
 
 @dataclass(frozen=True)
@@ -60,13 +63,19 @@ def postings(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return counts.join(vocabulary, "term").select("doc_id", "term", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
-def term_ids(vocabulary: DataFrame) -> DataFrame:
-    """Ids by term in code-point order, numbered within ranges so that no task sorts all."""
-    ranged = vocabulary.repartitionByRange("term").sortWithinPartitions("term").withColumn("__p", F.spark_partition_id())
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """rows and their number from 1 in this total order, counted within ranges, so that no task
+    sorts all; what is broadcast is one row a range."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.withColumn("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__b")
-    at = F.row_number().over(Window.partitionBy("__p").orderBy("term"))
-    return ranged.withColumn("__i", at).join(F.broadcast(before), "__p").select((F.col("__b") + F.col("__i")).cast("bigint").alias("term_id"), *vocabulary.columns)
+    at = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return ranged.withColumn("__i", at).join(F.broadcast(before), "__p").withColumn(name, (F.col("__b") + F.col("__i")).cast("bigint")).drop("__p", "__b", "__i")
+
+
+def term_ids(vocabulary: DataFrame) -> DataFrame:
+    """Ids by term in code-point order."""
+    return numbered(vocabulary, "term_id", F.col("term").asc()).select("term_id", *vocabulary.columns)
 
 
 def keywords(weighted: DataFrame, k: int = 5) -> DataFrame:
@@ -83,21 +92,21 @@ def query_rows(spark, wanted: dict[str, list[str]], banned: dict[str, list[str]]
     return spark.createDataFrame([(t, s, 1) for t, s in wanted.items()] + [(t, s, -1) for t, s in banned.items()], schema)
 
 
-def select(weighted: DataFrame, params: SearchParams, dates: DataFrame | None = None, stems: bool = False, fallback: bool = True) -> DataFrame:
+def select(weighted: DataFrame, params: SearchParams, dates: DataFrame | None = None, stems: bool = False, fallback: bool = True, most: int | None = MOST_HITS) -> DataFrame:
     """Ranked hits (doc_id, matched, score, terms, fallback, rank).
 
     All words: documents that have every term; if there are none, or a term is not in the
     index, the union with fallback = true, unless the switch is off.  That is settled before
     banned words and dates take hits away.  dates: (doc_id, date); bounds are inclusive.
-    Hits come by terms matched, score and id, MOST_HITS at most."""
+    Hits come by terms matched, score and id, `most` of them, or all if that is None."""
     wanted, banned = tx.parse_query(params.q, stems)
     spark = weighted.sparkSession
     asked = F.broadcast(query_rows(spark, wanted, banned))
     near = weighted.join(asked.where("sign = 1").select("term"), "term")
-    hits = near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("matched"), F.sum("weight").alias("score"), F.array_sort(F.collect_list("term")).alias("terms"))
+    hits = near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("matched"), F.sum(F.col("weight").cast(PLACES)).cast("double").alias("score"), F.array_sort(F.collect_list("term")).alias("terms"))
     if params.all_words:
-        most = hits.agg(F.coalesce(F.max("matched"), F.lit(0)).alias("__most"))
-        hits = hits.crossJoin(F.broadcast(most))
+        top = hits.agg(F.coalesce(F.max("matched"), F.lit(0)).alias("__most"))
+        hits = hits.crossJoin(F.broadcast(top))
         every = F.col("__most") == len(wanted)
         hits = hits.withColumn("fallback", ~every)
         keep = (F.col("matched") == len(wanted)) if not fallback else (~every | (F.col("matched") == len(wanted)))
@@ -114,8 +123,11 @@ def select(weighted: DataFrame, params: SearchParams, dates: DataFrame | None =
         if params.date_to:
             inside = inside.where(F.col("date") <= params.date_to)
         hits = hits.join(inside.select("doc_id"), "doc_id", "left_semi")
-    best = hits.orderBy(F.desc("matched"), F.desc("score"), "doc_id").limit(MOST_HITS)
-    rank = F.row_number().over(Window.orderBy(F.desc("matched"), F.desc("score"), "doc_id"))  # MOST_HITS rows at most
+    order = (F.desc("matched"), F.desc("score"), F.asc("doc_id"))
+    if most is None:
+        return numbered(hits, "rank", *order)
+    best = hits.orderBy(*order).limit(most)
+    rank = F.row_number().over(Window.orderBy(*order))  # `most` rows at most
     return best.withColumn("rank", rank.cast("bigint"))
 
 
@@ -176,6 +188,13 @@ def write_index(vocabulary: DataFrame, weighted: DataFrame, path: str) -> None:
     swap_in({"terms": vocabulary, "postings": weighted.repartitionByRange("term").sortWithinPartitions("term")}, path)
 
 
+def read_index(spark: SparkSession, path: str, asked: Sequence[str] | None = None) -> DataFrame:
+    """The postings of a written index; of these terms alone where they are given, which the
+    scan takes from the files' statistics, since postings lie in order of term."""
+    rows = spark.read.parquet(f"{path}/postings")
+    return rows if asked is None else rows.where(F.col("term").isin(*asked))
+
+
 def ranking_of(hits: DataFrame, query_id: Sequence[int] | int) -> DataFrame:
     """(query_id, position, doc_id) of a full ranking, without texts."""
     return hits.select(F.lit(query_id).cast("bigint").alias("query_id"), F.col("rank").alias("position"), "doc_id")

@@ -106,10 +106,10 @@ def ir_titles(spark, d):
 
 
 def _ranking(spark, d):
-    """The full rankings of the fixed queries, of at most MOST_HITS hits each, as the search gives them."""
+    """The full rankings of the fixed queries: all their hits."""
     rows = None
     for i, q in SPREAD.items():
-        one = rt.ranking_of(rt.select(_asked(spark, d, q), SearchParams(q)), i)
+        one = rt.ranking_of(rt.select(_asked(spark, d, q), SearchParams(q), most=None), i)
         rows = one if rows is None else rows.unionByName(one)
     return rows
 
@@ -160,7 +160,7 @@ weighted AS (SELECT doc_id, term, tf, tf * idf AS weight FROM counts JOIN terms
 
 def _hits(wanted, banned=(), all_words=False):
     listed = ", ".join(f"'{w}'" for w in wanted)
-    sql = f"""hits AS (SELECT doc_id, count(*) AS matched, sum(weight) AS score FROM weighted WHERE term IN ({listed}) GROUP BY doc_id)"""
+    sql = f"""hits AS (SELECT doc_id, count(*) AS matched, sum(weight::DECIMAL(28,9))::DOUBLE AS score FROM weighted WHERE term IN ({listed}) GROUP BY doc_id)"""
     n = len(wanted)
     if all_words:
         sql += f""", mode AS (SELECT coalesce(max(matched), 0) < {n} AS fallback FROM hits),
@@ -183,7 +183,7 @@ def _rank_sql():
     for i, q in SPREAD.items():
         words = [w for w in q.split() if w not in RETRIEVAL]
         listed = ", ".join(f"'{w}'" for w in words)
-        parts.append(f"SELECT {i}::BIGINT AS query_id, doc_id, row_number() OVER (ORDER BY count(*) DESC, sum(weight) DESC, doc_id) AS position FROM weighted WHERE term IN ({listed}) GROUP BY doc_id QUALIFY position <= 10000")
+        parts.append(f"SELECT {i}::BIGINT AS query_id, doc_id, row_number() OVER (ORDER BY count(*) DESC, sum(weight::DECIMAL(28,9)) DESC, doc_id) AS position FROM weighted WHERE term IN ({listed}) GROUP BY doc_id")
     return f"""{_COUNTS}, ranking AS ({' UNION ALL '.join(parts)}),
 marks AS (SELECT q.query_id, l.doc_id FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l, (SELECT unnest([{', '.join(map(str, SPREAD))}])::BIGINT AS query_id) q),
 total AS (SELECT query_id, count(*) AS total_relevant FROM marks GROUP BY 1),

@@ -1,4 +1,4 @@
-"""Sessions, and workers that can import this package."""
+"""Sessions, small sides of joins, and workers that can import this package."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import functools
 import os
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -25,6 +25,13 @@ def session(app: str = "corpuscube", master: str = "local[8]", memory: str = "8g
     )
 
 
+def near(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df for the small side of a join: computed once and broadcast if it has at most `most`
+    rows, else as it is, so that the join shuffles."""
+    rows = df.limit(most + 1).toArrow()
+    return df if rows.num_rows > most else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def reach(spark: SparkSession) -> None:
     """Python workers find this package where they share the driver's file system."""
     env = spark.sparkContext.environment
