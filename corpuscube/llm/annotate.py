@@ -6,9 +6,10 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from corpuscube.llm.spans import CHUNK, chunks, release
+from corpuscube.llm.tables import stored
 
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
 
@@ -54,5 +55,19 @@ def bounded(labelled: DataFrame, key: str, most: int) -> DataFrame:
     return labelled.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 40)) < share)
 
 
+def lessons(docs: DataFrame, picked: DataFrame, text: str, key: str, most_bytes: int) -> DataFrame:
+    """(o, x, y): what a classifier learns from: the texts of the picked keys (key, y), in the
+    order o of their keys' hashes, up to `most_bytes` bytes in all; at least the first text.
+    picked has a bounded number of rows, and is broadcast."""
+    order = F.xxhash64(F.lit("order"), key)
+    rows = docs.select(key, F.col(text).cast("string").alias("x")).join(F.broadcast(picked), key)
+    rows = stored(rows.select(order.alias("o"), "x", "y"), "lessons")
+    size = rows.groupBy("o").agg(F.sum(F.coalesce(F.octet_length("x"), F.lit(0))).alias("b"))
+    upto = F.sum("b").over(Window.orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    size = size.withColumn("upto", upto)  # as many rows as were picked, at most
+    last = size.where((F.col("upto") <= most_bytes) | (F.col("upto") == F.col("b"))).agg(F.max("o")).first()[0]
+    return rows.where(F.col("o") <= F.lit(last))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))

@@ -16,8 +16,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round links each node's larger neighbours, then its smaller ones, to the smallest
     node it sees; the number of rounds grows with the logarithm of a component's size.  A
-    node's smallest neighbour comes from a partial aggregate and is joined back, so a node
-    with very many neighbours is not one task's work."""
+    node's smallest neighbour comes from a partial aggregate and is joined back: what a node
+    with very many neighbours brings to one partition of that join, adaptive execution splits
+    (spark.sql.adaptive.skewJoin, on unless it is switched off)."""
     larger = lambda e: e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = stored(larger(edges), "graph")
     mark = _mark(edges)

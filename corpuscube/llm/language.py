@@ -13,6 +13,7 @@ each get a result.  Null labels teach nothing.
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -140,7 +141,8 @@ def _learn(x: np.ndarray, labels: list[str], steps: int) -> LanguageModel:
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", most: int = 6000, steps: int = 60) -> LanguageModel:
     """Learn from at most about `most` rows, an equal bound for each language, chosen by a
-    hash of the key.  That bounds what the one learning task holds, whatever the input."""
+    hash of the key.  Each becomes DIM numbers where it is read, and only those go to the one
+    learning task: it holds at most about most x DIM numbers, whatever the texts' length."""
     rows = labelled.where(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("string").alias("y"), F.col(text).alias("x"))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -149,16 +151,23 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     at = F.create_map(*[F.lit(v) for y, n in counts.items() for v in (y, int((1 << 40) * min(1.0, bound / n)))])
     picked = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "k"), F.lit(1 << 40)) < at[F.col("y")])
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, off in chunks(batch.column(0), most=ROWS):
+                body = pa.array([x.tobytes() for x in features(data, off).astype(np.float16)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), body], names=["y", "f"])
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, labels = [], []
         for batch in batches:
-            labels += batch.column(1).to_pylist()
-            parts += [features(data, off) for _, _, data, off in chunks(batch.column(0), most=ROWS)]
+            labels += batch.column(0).to_pylist()
+            parts += [np.frombuffer(x, np.float16) for x in batch.column(1).to_pylist()]
         if labels:
-            model = pickle.dumps(_learn(np.concatenate(parts), labels, steps))
+            order = np.lexsort((np.array([zlib.crc32(x) for x in parts]), np.array(labels)))  # whatever order rows come in
+            model = pickle.dumps(_learn(np.stack([parts[i] for i in order]).astype(np.float32), [labels[i] for i in order], steps))
             del parts
             release()
             yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
-    made = picked.select("x", "y").repartition(1).mapInArrow(learn, "model binary").collect()
+    made = picked.select("x", "y").mapInArrow(read, "y string, f binary").repartition(1).mapInArrow(learn, "model binary").collect()
     return pickle.loads(made[0]["model"])

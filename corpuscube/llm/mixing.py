@@ -6,7 +6,8 @@ documents.  A fold over a block keeps one fractional document, the carry; it mee
 next one, and mass moves between the two at random, by words, until one of them is whole,
 so that both keep their chances and the block keeps its words.  What is left of each block
 goes up to the next level, and the levels form a reduction tree.  The last carry of a source
-is rounded to the nearer whole.
+is drawn by its chance.  Blocks begin with their largest documents, so that it is seldom one
+of those, and the target is missed by little.
 
 Shuffles move (key, source, size) rows only.  A large source is salted, so no task holds
 more than about SALT documents of one source at a level.
@@ -23,6 +24,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corpuscube.llm.ranges import running
 from corpuscube.llm.tables import stored
 
 BLOCK = 60
@@ -73,23 +75,19 @@ def targets(totals: DataFrame, weights: Sequence[float], share: float, limit: fl
     `weights`, repeating; targets share `share` of all sizes and stop at `limit` times the
     source's own, the excess going to the others by weight.  So a target is the smaller of
     its bound and weight times one common level, which ordering the sources by bound per
-    weight finds in one pass.  One row a source, in one task."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    by = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    row = totals.withColumn("w", by).withColumn("cap", limit * F.col("source_size").cast("double"))
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before, all_rows = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rest = F.lit(share) * F.sum("source_size").over(all_rows).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    row = row.withColumn("level", rest / F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    fits = F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))
-    row = row.withColumn("common", F.first(fits, ignorenulls=True).over(all_rows))
+    weight finds: the first level that stays below its own source's bound."""
+    ranked = running(totals, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)})
+    by = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    row = ranked.withColumn("w", by).withColumn("cap", limit * F.col("source_size").cast("double")).withColumn("r", F.col("cap") / F.col("w"))
+    row = running(row, [F.col("r"), F.col("source").asc_nulls_last()], {"caps": F.col("cap"), "ws": F.col("w")})
+    whole = row.agg(F.sum("source_size").alias("all_size"), F.sum("w").alias("all_w"))
+    level = (share * F.col("all_size").cast("double") - F.col("caps")) / (F.col("all_w") - F.col("ws"))
+    row = row.crossJoin(F.broadcast(whole)).withColumn("level", level)
+    common = row.where("level <= r").agg(F.min_by("level", F.struct("r", F.col("source").isNull(), "source")).alias("common"))
+    row = row.crossJoin(F.broadcast(common))  # one row
     return row.select("source", "source_size", "n", F.least(F.col("cap"), F.coalesce(F.col("common") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in names])
-
-
 def _level(items: DataFrame, level: int, seed: int) -> DataFrame:
     """Settle items (key, source, size, s, p, salts) within blocks; one row a block."""
     ident = [F.col("key").cast("string"), F.col("source"), F.col("size")]
@@ -103,12 +101,16 @@ def _level(items: DataFrame, level: int, seed: int) -> DataFrame:
     return blocks.select("source", "a", _fold().alias("c"))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, limit: float = 2.0, seed: int = 1) -> DataFrame:
-    """The rows of docs and size, source_size, target and copies: how often the mix takes each.
-    Input columns with these names are replaced."""
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, limit: float = 2.0, seed: int = 1, keep: Sequence[str] | None = None) -> DataFrame:
+    """The rows of docs, with the columns `keep` (all if None), and size, source_size, target and
+    copies: how often the mix takes each.  Kept columns with these names are replaced.  Where
+    `keep` leaves the text out, texts are read once."""
     made = ["size", "source_size", "target", "copies"]
-    others = [c for c in docs.columns if c not in made]
-    sized = docs.select(*others, word_count(docs[text]).alias("size"))
+    others = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    plain = [docs[c] for c in dict.fromkeys([*others, key, source])]
+    sized = docs.select(*plain, word_count(docs[text]).alias("size"))
+    if text not in others:
+        sized = stored(sized, "mixing-sized")
     items = stored(sized.groupBy(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), "size").agg(F.count(F.lit(1)).alias("c")), "mixing-sizes")
     totals = items.groupBy("source").agg(F.sum(F.col("size") * F.col("c")).alias("source_size"), F.count(F.lit(1)).alias("n"))
     goal = stored(targets(totals, weights, share, limit), "mixing-targets")
@@ -128,7 +130,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
         rest = done.where(F.col("c.i") >= 0).select("source", carry.alias("x"), "c")
         left = rest.select(F.col("x.key").alias("key"), "source", F.col("x.size").alias("size"), F.col("x.s").alias("s"), F.col("c.p").alias("p"))
         if most <= BLOCK:
-            up.append(left.where(F.col("p") >= 0.5).select("key", "source", "size"))
+            drawn = F.shiftrightunsigned(F.xxhash64(F.lit(f"last {seed}"), F.col("key").cast("string"), "source", "size"), 11) * 2.0**-53
+            up.append(left.where(drawn < F.col("p")).select("key", "source", "size"))
             break
         counts = left.groupBy("source").agg(F.count(F.lit(1)).alias("m"))
         most = counts.agg(F.max("m")).first()[0] or 0

@@ -6,12 +6,14 @@ remainder.  Remainders go in descending order to the sequence of lowest estimate
 of a window are as many as its tokens need, so where no sequence has room for a whole
 remainder it is cut; at most one sequence's worth of a window of WINDOW tokens is padding.
 
-Texts are tokenized by words, runs of anything but ASCII white space, each distinct word once
-and then by its hash: the tokenizer never joins across white space.  There is no shuffle; a
-task holds one window.  Sequence numbers carry the task's number in their upper half.
+Texts are tokenized by words, runs of anything but ASCII white space, each distinct word once:
+the tokenizer never joins across white space.  Words are found by a hash and compared byte by
+byte.  There is no shuffle; a task holds one window.  Sequence numbers carry the task's number in their upper half.
 
 Defined results: a null or empty text is the end token alone.  Repeated rows are documents
-of their own.  An empty table gives no piece.
+of their own.  A text of any length is tokenized whole.  Of the input's columns only the key
+is returned, under its own name, which must not be one of the columns made.  An empty table
+gives no piece.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from corpuscube.llm.spans import LOWER, SPACE, Prefix, chunks, owners, release, runs
+from corpuscube.llm.spans import LOWER, SPACE, Prefix, chunks, owners, release, runs, same_bytes
 
 WINDOW = 1 << 22
 KNOWN = 1 << 20
@@ -48,10 +50,16 @@ class WordTokens:
     def forget(self) -> None:
         self.known, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.spelled, self.written = np.zeros(1 << 16, np.uint8), 0
+        self.spelled_at, self.spelled_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+    def ids(self, words: list[bytes]) -> list[list[int]]:
         told = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        ids = [e.ids for e in told]
+        return [e.ids for e in told]
+
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        ids = self.ids(words)
+        long = np.fromiter(map(len, words), np.int64, len(words))
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(size.sum())
         while self.used + total > len(self.pool):
@@ -60,11 +68,18 @@ class WordTokens:
         place = np.searchsorted(self.known, hashes)
         at = self.used + np.cumsum(size) - size
         self.known, self.at, self.size = np.insert(self.known, place, hashes), np.insert(self.at, place, at), np.insert(self.size, place, size)
+        self.spelled_at = np.insert(self.spelled_at, place, self.written + np.cumsum(long) - long)
+        self.spelled_size = np.insert(self.spelled_size, place, long)
+        body = np.frombuffer(b"".join(words), np.uint8)
+        while self.written + len(body) + 8 > len(self.spelled):
+            self.spelled = np.concatenate([self.spelled, np.zeros_like(self.spelled)])
+        self.spelled[self.written : self.written + len(body)] = body
+        self.written += len(body)
         self.used += total
 
     def encode(self, data: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each text's followed by `end`, and where each text's begin."""
-        if len(self.known) > KNOWN:
+        if len(self.known) > KNOWN or self.written > 16 * KNOWN:
             self.forget()
         special = ((data[:-1] == 60) & (data[1:] == 124)).any()  # "<|" can begin a special token, which has marks and case
         # the tokenizer lower-cases; no character below U+0100 composes differently in lower case
@@ -82,7 +97,7 @@ class WordTokens:
             cut = cut[cut < ends[np.searchsorted(starts, cut, "right") - 1]]
             starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
         bounds = np.searchsorted(starts, off)
-        distinct, first, which = np.unique(Prefix(body).of(starts, ends), return_index=True, return_inverse=True)
+        distinct, first, which = np.unique(self.hashed(body, starts, ends), return_index=True, return_inverse=True)
         place = np.searchsorted(self.known, distinct)
         fresh = np.ones(len(distinct), bool)
         inner = place < len(self.known)
@@ -92,6 +107,12 @@ class WordTokens:
             new = first[fresh]
             self.learn(distinct[fresh], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
             place = np.searchsorted(self.known, distinct)
+        length = ends - starts
+        spare = np.concatenate([body, np.zeros(8, np.uint8)])
+        told = (self.spelled_size[place] == length[first]) & same_bytes(spare, starts[first], self.spelled, self.spelled_at[place], np.minimum(length[first], self.spelled_size[place]))
+        right = told[which] & (length == length[first][which]) & same_bytes(spare, starts, spare, starts[first][which], np.minimum(length, length[first][which]))
+        if not right.all():
+            return self._each(body, starts, ends, bounds, end)
         of = place[which]
         size = self.size[of]
         total = np.concatenate([[0], np.cumsum(size)])
@@ -104,6 +125,18 @@ class WordTokens:
         return out, begin
 
 
+    @staticmethod
+    def hashed(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return Prefix(body).of(starts, ends)
+
+    def _each(self, body: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for a chunk in which two different words have one hash: word by word."""
+        raw = body.tobytes()
+        words = self.ids([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        docs = [[i for ids in words[a:b] for i in ids] + [end] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return np.array([i for x in docs for i in x], np.uint32), np.cumsum([0, *map(len, docs)])
+
+
 @lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
     """One table a worker process, which runs many tasks: what a word's tokens are does not

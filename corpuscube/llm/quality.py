@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpuscube.llm.annotate import annotate, bounded, sigmoid
+from corpuscube.llm.annotate import annotate, bounded, lessons, sigmoid
 from corpuscube.llm.spans import LOWER, U, Prefix, chunks, mix, segment_sums
 
 BITS = 18
@@ -108,23 +108,22 @@ class Leader:
         self.n[at] = n + g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", most: int = 16000, passes: int = 3, shards: int = 4) -> QualityModel:
-    """Learn from about `most` labelled rows at most, chosen by a hash of the key.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", most: int = 16000, most_bytes: int = 96 << 20, passes: int = 3, shards: int = 4) -> QualityModel:
+    """Learn from about `most` labelled rows at most, chosen by a hash of the key, up to
+    `most_bytes` bytes of text.
 
-    The rows are dealt over at most `shards` tasks; each runs `passes` passes over its
-    own rows, in the order of their keys' hashes, and the models are averaged.  What a
-    task and the driver hold depends on these parameters alone."""
+    The rows are dealt over `shards` tasks, however many they are; each runs `passes` passes
+    over its own rows, in the order of their keys' hashes, and the models are averaged.  What
+    a task and the driver hold depends on these parameters alone."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("__y"))
     picked = bounded(known, key, most)
-    rows = docs.select(key, F.col(text).alias("__x")).join(F.broadcast(picked), key)
-    tasks = max(1, min(shards, picked.count() // 1500))
-    rows = rows.select(F.xxhash64(F.lit("order"), key).alias("o"), "__x", F.col("__y").cast("double").alias("y"))
-    rows = rows.withColumn("shard", F.pmod("o", F.lit(tasks)))
+    rows = lessons(docs, picked.select(key, F.col("__y").cast("double").alias("y")), text, key, most_bytes)
+    rows = rows.withColumn("shard", F.pmod("o", F.lit(shards)))
 
     def learn(group: pa.Table) -> pa.Table:
         seen: list[tuple[int, np.ndarray, np.ndarray, float]] = []
         order, y = group["o"].to_pylist(), group["y"].to_pylist()
-        for lo, hi, data, off in chunks(group["__x"]):
+        for lo, hi, data, off in chunks(group["x"]):
             grams, bounds = ngrams(data, off)
             for i in range(hi - lo):
                 at, n = np.unique(grams[bounds[i] : bounds[i + 1]], return_counts=True)

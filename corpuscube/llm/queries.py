@@ -20,7 +20,7 @@ def _judged(scored: DataFrame, by: int, held: int, threshold: float) -> DataFram
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_read(spark, sf_dir, "documents"))
+    mixed = mixing.mix(_read(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

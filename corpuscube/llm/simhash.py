@@ -34,7 +34,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from corpuscube.llm.annotate import annotate
 from corpuscube.llm.graph import components
@@ -278,7 +278,9 @@ def linked(keyed: DataFrame, radius: int = RADIUS) -> DataFrame:
     within radius in any bucket would; where there is a column `node`, the edges are of nodes."""
     spark = keyed.sparkSession
     names = ["node", "fp"] if "node" in keyed.columns else ["fp"]
-    keyed = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("t", "k"))).where("n > 1")
+    # a bucket is counted by a partial aggregate, and the join back is one that adaptive
+    # execution splits, so that no task holds a large bucket before it is cut into tiles
+    keyed = keyed.join(keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["t", "k"])
     tiles = F.ceil(F.col("n") / TILE)
     mine = F.pmod(F.xxhash64(F.lit("tile"), names[0]), tiles)
     keyed = keyed.select(*names, "t", "k", "n", mine.alias("mine"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))

@@ -78,6 +78,21 @@ class Prefix:
         return (self.sums[n:] - self.sums[:-n]) * _power(1, len(self.sums) - n)
 
 
+def same_bytes(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether size[i] bytes of a from at_a[i] on are those of b from at_b[i] on, 8 at a time.
+    Both buffers have 8 bytes to spare at their ends."""
+    lanes = [np.ndarray((len(x) - 7,), "<u8", x, strides=(1,)) for x in (a, b)]
+    out, left, done = np.ones(len(size), bool), np.flatnonzero(size > 0), 0
+    while len(left):
+        rest = size[left] - done
+        unused = (U(8) * (U(8) - np.minimum(rest, 8).astype(np.uint64))).astype(np.uint64)
+        differ = (lanes[0][at_a[left] + done] ^ lanes[1][at_b[left] + done]) << unused
+        out[left[differ != 0]] = False
+        done += 8
+        left = left[(rest > 8) & (differ == 0)]
+    return out
+
+
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string or binary column as its bytes and offsets; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

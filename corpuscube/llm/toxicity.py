@@ -22,15 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpuscube.llm.annotate import annotate, bounded, sigmoid
+from corpuscube.llm.annotate import annotate, bounded, lessons, sigmoid
 from corpuscube.llm.spans import LOWER, U, Prefix, chunks, release, runs
 
 BITS = 18
 BLOCK = 128
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
-#: Features of a token, in order: the word, its first 4, 5 and 6 bytes, its last 4.
-N_FEATURES = 5
+#: Features of a token, in order: the word, its first bytes, as many as here, its last 4 bytes.
+PREFIXES = (4, 5, 6, 7, 8, 9)
+N_FEATURES = len(PREFIXES) + 2
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -46,7 +47,7 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """Starts, ends and each document's bounds of the tokens, and their hashed features."""
     starts, ends, bounds = runs(_LETTER[data], off)
     prefix = Prefix(lowered(data))
-    cuts = [(starts, ends), *((starts, np.minimum(starts + n, ends)) for n in (4, 5, 6)), (np.maximum(ends - 4, starts), ends)]
+    cuts = [(starts, ends), *((starts, np.minimum(starts + n, ends)) for n in PREFIXES), (np.maximum(ends - 4, starts), ends)]
     found = np.stack([(prefix.of(a, b) * U(2 * k + 3) >> U(64 - BITS)).astype(np.int32) for k, (a, b) in enumerate(cuts)], 1) if len(starts) else np.zeros((0, N_FEATURES), np.int32)
     return starts, ends, bounds, found
 
@@ -150,7 +151,7 @@ def evident(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     n, p0 = inside.sum(0), np.clip(y.mean(), 1e-4, 1 - 1e-4)
     q = np.clip(inside[1] / np.maximum(n, 1), 1e-9, 1 - 1e-9)
     apart = q * np.log(q / p0) + (1 - q) * np.log((1 - q) / (1 - p0))
-    marks = (q > 0.75) & (n * apart > 10)
+    marks = (q > 0.75) & (n * apart > 8)
     pairs = [np.zeros(0, np.int64)]
     for x, label in zip(found, y, strict=True):
         if label and len(x):
@@ -159,7 +160,7 @@ def evident(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
                 at = np.flatnonzero(marks[x[:, k]])
                 pairs.append(x[at, k].astype(np.int64) << BITS | before[at])
     contexts = np.bincount(np.unique(np.concatenate(pairs)) >> BITS, minlength=1 << BITS)
-    return marks & (np.minimum(contexts, n) * apart > 10)
+    return marks & (np.minimum(contexts, n) * apart > 8)
 
 
 def _learn(found: list[np.ndarray], y: np.ndarray, passes: int) -> ToxicityModel:
@@ -214,13 +215,13 @@ def _learn(found: list[np.ndarray], y: np.ndarray, passes: int) -> ToxicityModel
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", most: int = 9000, passes: int = 4) -> ToxicityModel:
-    """Learn from about `most` labelled rows at most, chosen by a hash of the key, and from all
-    of those; that bounds what the one learning task holds, whatever the input."""
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", most: int = 9000, most_bytes: int = 48 << 20, passes: int = 6) -> ToxicityModel:
+    """Learn from about `most` labelled rows at most, chosen by a hash of the key, and of those
+    from all, in the order of another hash, up to `most_bytes` bytes of text; that bounds what
+    the one learning task holds, whatever the input."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("__y"))
     picked = bounded(known, key, most)
-    rows = docs.select(key, F.col(text).alias("__x")).join(F.broadcast(picked), key)
-    rows = rows.select(F.xxhash64(F.lit("order"), key).alias("o"), "__x", F.col("__y").cast("double").alias("y"))
+    rows = lessons(docs, picked.select(key, F.col("__y").cast("double").alias("y")), text, key, most_bytes)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[tuple[int, np.ndarray, float]] = []

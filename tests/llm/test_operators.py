@@ -352,3 +352,42 @@ def test_word_tokens():
     ids, at = words.encode(*text(*texts), 1)
     for i, t in enumerate(texts):
         assert ids[at[i] : at[i + 1]].tolist() == [*words.tokenizer.encode(t, add_special_tokens=False).ids, 1], t
+
+
+def test_words_of_one_hash():
+    """Words are what their bytes say, even where hashes say nothing."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["one two three", "", "two one-two 123456789 123456780", "x" * 5000 + " y"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.cumsum([0, *map(len, texts)])
+    right = packing.WordTokens(path).encode(data, off, 1)
+    for bits in (0, 1, 2):
+        weak = packing.WordTokens(path)
+        weak.hashed = lambda body, a, b, bits=bits: packing.Prefix(body).of(a, b) & np.uint64((1 << bits) - 1)
+        for _ in range(2):
+            got = weak.encode(data, off, 1)
+            assert (got[0] == right[0]).all() and (got[1] == right[1]).all()
+
+
+def test_bisect_beyond_nesting(spark, monkeypatch):
+    from corpuscube.llm import ranges
+
+    rng = np.random.default_rng(3)
+    bounds = sorted({int(x) for x in rng.integers(-1000, 1000, 300)})
+    rows = spark.range(-1100, 1100)
+    plain = rows.select("id", ranges.bisect(F.col("id"), bounds).alias("b")).toPandas()
+    monkeypatch.setattr(ranges, "NESTED", 0)
+    for some in (bounds, bounds[:1], bounds[:2], bounds[:3]):
+        got = rows.select("id", ranges.bisect(F.col("id"), some).alias("b")).toPandas()
+        assert (got.b.values == np.searchsorted(some, got.id.values, "right")).all()
+    assert (plain.b.values == np.searchsorted(bounds, plain.id.values, "right")).all()
+
+
+def test_running_sums(spark):
+    from corpuscube.llm import ranges
+
+    rows = spark.range(500).select(F.pmod(F.xxhash64("id"), F.lit(97)).alias("k"), "id")
+    got = ranges.running(rows, [F.col("k").asc(), F.col("id").asc()], {"n": F.lit(1), "s": F.col("id")}).toPandas().sort_values(["k", "id"])
+    assert (got.n.values == np.arange(500)).all() and (got.s.values == np.cumsum(got.id.values) - got.id.values).all()
