@@ -7,8 +7,6 @@ document: they stay or go together.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -70,11 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over `documents`; what each returns is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{tables.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The stages over `documents`; what each returns is written and read again.  Once that is
+    written, its input and what was stored on the way are deleted."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), tables.mark(spark)
     for name, stage in STAGES[:-1]:
-        made = stage(spark, docs, sf_dir)
-        made.write.parquet(f"{root}/{name}")
-        docs = spark.read.schema(made.schema).parquet(f"{root}/{name}")
+        docs = tables.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        tables.clear(spark, mark, last=False)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -23,15 +23,14 @@ def annotate(df: DataFrame, text: str, keep: Sequence[str] | None, fields: Seque
     """
     names = {n for n, _ in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
-    source = df.select(*kept, F.col(text).cast("string").alias("__text"))
+    source = df.select(*kept, F.col(text).cast("string").alias("__text" + "_" * max([0, *map(len, kept)])))
     schema = T.StructType([*(source.schema[c] for c in kept), *(T.StructField(n, T._parse_datatype_string(t)) for n, t in fields)])
     kinds = [ARROW[t] for _, t in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
-            for lo, hi, data, off in chunks(batch.column(at), limit, most):
+            for lo, hi, data, off in chunks(batch.column(len(kept)), limit, most):
                 made = [pa.array(x, k) for x, k in zip(f(data, off), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in range(len(kept))] + made, names=[*kept, *(n for n, _ in fields)])
             del batch

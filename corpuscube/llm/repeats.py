@@ -6,23 +6,29 @@ with a smaller id; texts are taken as UTF-8 bytes and judged as they came in.
 Each string has an anchor, the GRAM bytes in it whose hash is least: equal strings have
 equal anchors.  An anchor's context is what strings around it can reach.  So:
 
-1. Texts move once, into cells, ranges of ids.  A cell sends its distinct anchors with
-   their contexts' hashes, packed, to buckets by anchor.
+1. Texts move once, into cells, ranges of ids of about equally many bytes.  A cell sends its
+   distinct anchors with their contexts' hashes, packed, to buckets by anchor.
 2. A bucket answers each cell for each of its entries: does the same context occur in an
    earlier cell; is the anchor shared between different contexts.
 3. The first cell of a context that shares its anchor sends the context itself.
 4. A bucket indexes these contexts (all but each anchor's last one) by a run-compressed
    Burrows-Wheeler transform with sampled run ends, streams matching statistics of all but
    each anchor's first one over it, and answers which strings begin a match of full length
-   that an earlier document holds.
+   that an earlier document holds.  Contexts of an anchor that are too many for one index are
+   dealt by what the strings of half of the anchor's places in them have in common, and so on.
 5. The cells mark the strings, and cut.
 
 Copies of a text or passage cost a cell one entry however many there are, and cost a bucket one
 entry a cell; contexts are indexed once.  Answers are bits in the order of the entries.
 
+Contexts are held to be equal where 128 bits of hashes are (32 of the anchor's, 64 and 32 of two
+unrelated ones of the context); among 10**13 contexts two others agree with a chance under
+10**-12.  Differing contexts are compared by their bytes.
+
 Defined results: a null text is an empty one.  Rows with equal ids are one document's
-versions: neither removes from the other.  Null ids come last.  Texts under `length` bytes
-stay whole.
+versions: neither removes from the other.  Null ids come last, all in one cell, as rows of one
+id are; a cell of 2 GiB or more is an error, never a wrong result.  Texts under `length` bytes
+stay whole.  Kept columns may have any names.
 """
 
 from __future__ import annotations
@@ -36,21 +42,23 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from corpuscube.llm import ranges
 from corpuscube.llm.rindex import RunLengthIndex
 from corpuscube.llm.spans import CHUNK, U, Prefix, chunks, flat, mix, release, runs
-from corpuscube.llm.tables import width
+from corpuscube.llm.tables import stored, width
 
 GRAM = 24
-#: Bytes of contexts that one index holds, about.
-INDEXED = 1 << 20
+#: Bytes of contexts that one index holds, about; bytes of a cell's texts, about.
+INDEXED, CELL = 1 << 20, 128 << 20
+UNIT = 4096
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of every anchor: its document, its context's start and end, and the hashes of the anchor
-    and of the context.  A window's anchor is the leftmost least-hashed gram in it."""
+    """Of every anchor: its document, its context's start and end, how far in the context it
+    begins, and the hashes of the anchor and (64 and 32 bits) of the context.  A window's
+    anchor is the leftmost least-hashed gram in it."""
     grams, n = length - GRAM + 1, len(data)
     none = np.zeros(0, np.int64)
     starts = n - length + 1
     if starts <= 0:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint32)
     inside = np.zeros(n + 1, np.int32)
     long = np.diff(off) >= length
     inside[off[:-1][long]] = 1
@@ -71,7 +79,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     place = place[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else place
     doc = np.searchsorted(off, place, "right") - 1
     lo, hi = np.maximum(place - (length - GRAM), off[doc]), np.minimum(place + length, off[doc + 1])
-    return doc, lo, hi, mix(h[place]), prefix.of(lo, hi)
+    return doc, lo, hi, place - lo, mix(h[place]), prefix.of(lo, hi), (Prefix(data, 1).of(lo, hi) >> U(32)).astype(np.uint32)
 
 
 class Cell:
@@ -83,23 +91,29 @@ class Cell:
         ids = self.table["__o"].to_numpy()
         self.rank = np.cumsum(np.concatenate([[0], (ids[1:] != ids[:-1]).astype(np.int64)])) if len(ids) else np.zeros(0, np.int64)
         self.data, self.off = flat(self.table["__x"])
-        # a cell holds less than 2**31 bytes, as Arrow's strings do
-        parts = [(np.zeros(0, np.int32),) * 3 + (np.zeros(0, np.uint64),) * 2]
+        if len(self.data) >= 1 << 31:  # places are held as 32-bit numbers
+            raise ValueError("rows of one id, or without an id, have 2 GiB of text or more")
+        parts = [(np.zeros(0, np.int32),) * 3 + (np.zeros(0, np.int8), *(np.zeros(0, np.uint64),) * 2, np.zeros(0, np.uint32))]
         for lo, _, data, off in chunks(self.table["__x"].combine_chunks(), CHUNK // 2):
-            doc, a, b, h, c = anchors(data, off, length)
+            doc, a, b, at, h, c, d = anchors(data, off, length)
             base = self.off[lo]
-            parts.append(((doc + lo).astype(np.int32), (a + base).astype(np.int32), (b + base).astype(np.int32), h, c))
-        self.doc, self.lo, self.hi, h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.append(((doc + lo).astype(np.int32), (a + base).astype(np.int32), (b + base).astype(np.int32), at.astype(np.int8), h, c, d))
+        self.doc, self.lo, self.hi, self.at, h, c, d = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         # in order of the anchor's first bits, which name its bucket, then of a hash of both
         key = (h & U(0xFFFFF00000000000)) | (mix(h + c * U(5)) >> U(20))
         by = np.argsort(key, kind="stable")
-        key = key[by]
-        new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+        same = lambda x: x[by[1:]] == x[by[:-1]]
+        one = same(h) & same(c) & same(d)
+        if (one != same(key)).any():  # different contexts of one sorting key
+            by = np.lexsort((d, c, h, key))
+            one = same(h) & same(c) & same(d)
+        del key
+        new = np.concatenate([[True], ~one])[: len(by)]
         self.entry = np.empty(len(by), np.int32)
         self.entry[by] = np.cumsum(new) - 1
         first = np.flatnonzero(new)
-        self.h, self.c = h[by[first]], c[by[first]]
+        self.h, self.c, self.d = h[by[first]], c[by[first]], d[by[first]]
         bucket = ((self.h >> U(44)) * U(buckets)) >> U(20)
         self.cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
         ranks = self.rank[self.doc]
@@ -149,12 +163,17 @@ _REPLY = "__cell int, kind int, bucket int, body binary"
 def shared(table: pa.Table) -> pa.Table:
     """Step 2, for one bucket: 1 if an earlier cell has the context; else, if the anchor has
     another context too, 2, or 3 where all of them are in one cell; else 0."""
-    rows = sorted(zip(table["cell"].to_pylist(), table["bucket"].to_pylist(), table["a"].to_pylist(), table["b"].to_pylist(), strict=True), key=lambda r: r[0])
-    h, c = (np.concatenate([np.frombuffer(r[k], "<u4") for r in rows]).astype(np.uint64) for k in (2, 3))
-    key = (h << U(32)) | c
+    rows = sorted(zip(*(table[c].to_pylist() for c in ("cell", "bucket", "a", "b", "c")), strict=True), key=lambda r: r[0])
+    h, c, d = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in ((2, "<u4"), (3, "<u8"), (4, "<u4")))
+    key = (h.astype(np.uint64) << U(32)) | (c >> U(32))
     by = np.argsort(key, kind="stable")  # rows of one key stay in order of cell
+    same = lambda x: x[by[1:]] == x[by[:-1]]
+    one = same(key) & same(c) & same(d)
+    if (one != same(key)).any():  # different contexts of one sorting key
+        by = np.lexsort((d, c, key))
+        one = same(key) & same(c) & same(d)
     k = key[by]
-    new = np.concatenate([[True], k[1:] != k[:-1]])
+    new = np.concatenate([[True], ~one])
     told = np.zeros(len(k), np.uint8)
     told[by[~new]] = 1
     first = by[new]
@@ -170,9 +189,9 @@ def shared(table: pa.Table) -> pa.Table:
     return _reply(1, [r[0] for r in rows], [r[1] for r in rows], [told[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])
 
 
-def earlier(h: np.ndarray, order: np.ndarray, body: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+def earlier(h: np.ndarray, order: np.ndarray, body: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
     """Step 4: for each context, which of its windows (bit j: the one at its j-th byte) a
-    context of smaller order holds.  body: the contexts end to end; all of one anchor are here."""
+    context of smaller order holds.  Contexts lie in body; those of one anchor are all here."""
     n = len(h)
     out = np.zeros(n, np.uint64)
     by = np.lexsort((order, h))
@@ -182,7 +201,6 @@ def earlier(h: np.ndarray, order: np.ndarray, body: np.ndarray, size: np.ndarray
     texts, asked = by[~tail], by[~head]  # an anchor's last one can't come before, its first not after another
     if not len(asked):
         return out
-    start = np.cumsum(size) - size
     wide = int(size.max())
 
     def symbols(which: np.ndarray, columns: int) -> np.ndarray:
@@ -208,6 +226,55 @@ def earlier(h: np.ndarray, order: np.ndarray, body: np.ndarray, size: np.ndarray
     return out
 
 
+def _classes(body: np.ndarray, start: np.ndarray, wide: int) -> np.ndarray:
+    """A number for each of the strings of `wide` bytes at these places, equal for equal ones."""
+    rows = np.ascontiguousarray(body[start[:, None] + np.arange(wide)])
+    return np.unique(rows.view(f"V{wide}").reshape(-1), return_inverse=True)[1]
+
+
+def judged(h: np.ndarray, order: np.ndarray, at: np.ndarray, body: np.ndarray, start: np.ndarray, size: np.ndarray, length: int, most: int = INDEXED) -> np.ndarray:
+    """earlier() by indexes that hold about `most` bytes each.
+
+    A window holds its anchor after r bytes of its own, 0 <= r <= length - GRAM, and equal
+    windows have equal anchors after equally many.  Where an anchor's contexts are too many,
+    windows of the lower and of the upper half of these r are judged apart: those of each half
+    have some bytes around the anchor in common, by which contexts are dealt; and so on until
+    there is one r, and equal windows are what is left to tell."""
+    bits = np.zeros(len(h), np.uint64)
+
+    def resolve(which: np.ndarray, group: np.ndarray, r0: int, r1: int) -> None:
+        lo, hi = np.maximum(at[which] - r1, 0), np.minimum(at[which] - r0 + length, size[which])
+        some = hi - lo >= length
+        which, lo, hi = which[some], lo[some], hi[some]
+        if not len(which):
+            return
+        _, group = np.unique(group[some], return_inverse=True)
+        weight = np.bincount(group, hi - lo)
+        if r0 == r1:  # one window a context: the first of equal ones stays
+            same = _classes(body, start[which] + lo, length)
+            least = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, same, order[which])
+            bits[which] |= (order[which] > least[same]).astype(np.uint64) << lo.astype(np.uint64)
+            return
+        large = weight > most
+        batch = np.where(large, -1, (np.cumsum(np.where(large, 0, weight)) // most).astype(np.int64))[group]
+        by = np.argsort(batch, kind="stable")
+        for part in np.split(by, np.flatnonzero(np.diff(batch[by])) + 1):
+            if batch[part[0]] >= 0:
+                mine = which[part]
+                bits[mine] |= earlier(group[part], order[mine], body, start[mine] + lo[part], (hi - lo)[part], length) << lo[part].astype(np.uint64)
+        for g in np.flatnonzero(large).tolist():
+            mine = which[group == g]
+            for x0, x1 in ((r0, (r0 + r1) // 2), ((r0 + r1) // 2 + 1, r1)):
+                has = np.maximum(at[mine] - x1, 0) + length <= np.minimum(at[mine] - x0 + length, size[mine])
+                if has.any():
+                    here = mine[has]
+                    resolve(here, _classes(body, start[here] + at[here] - x0, length - (x1 - x0)), x0, x1)
+
+    resolve(np.arange(len(h)), h, 0, length - GRAM)
+    return bits
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: Sequence[str] | None = None, length: int = 50, as_text: bool = False) -> DataFrame:
     """The columns `keep` of docs (all if None) and n_bytes, span_starts and span_ends (the
     removed runs, in bytes) and kept, the bytes that stay.  A kept column that has one of
@@ -217,15 +284,21 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
         raise ValueError("length must be from 48 to 80")
     made = {"n_bytes", "span_starts", "span_ends", "kept"}
     names = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    parts = buckets = width(docs.sparkSession)
     order = F.coalesce(docs[key].cast("bigint"), F.lit((1 << 63) - 1))
-    bounds = ranges.bounds(docs.select(order.alias("o")), "o", parts)
-    cells = docs.select(ranges.bisect(order, bounds).cast("int").alias("__cell"), order.alias("__o"), docs[text].cast("string").alias("__x"), *names)
+    body = docs[text].cast("string")
+    # a row counts once for each UNIT bytes of its text, so that cells are alike in bytes
+    sizes = stored(docs.select(order.alias("o"), F.coalesce(F.octet_length(body), F.lit(0)).alias("n")), "repeats-sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    parts = buckets = max(width(docs.sparkSession), -(-total // CELL))
+    weighted = sizes.select("o", F.explode(F.sequence(F.lit(0), F.expr(f"n div {UNIT}"))).alias("i")).select("o")
+    bounds = ranges.bounds(weighted, "o", parts)
+    # the columns that are kept go by numbers, so that their names clash with nothing
+    cells = docs.select(ranges.bisect(order, bounds).cast("int").alias("__cell"), order.alias("__o"), body.alias("__x"), *[docs[c].alias(f"c{i}") for i, c in enumerate(names)])
 
     def send(table: pa.Table) -> pa.Table:
         cell, at = Cell(table, length, buckets), table["__cell"][0].as_py()
         low = lambda x, i, j: (x[i:j] & U(0xFFFFFFFF)).astype("<u4").tobytes()
-        made = _rows([(b, at, low(cell.h, i, j), low(cell.c, i, j), None) for b, (i, j) in enumerate(zip(cell.cuts[:-1], cell.cuts[1:], strict=True)) if j > i])
+        made = _rows([(b, at, low(cell.h, i, j), cell.c[i:j].astype("<u8").tobytes(), cell.d[i:j].astype("<u4").tobytes()) for b, (i, j) in enumerate(zip(cell.cuts[:-1], cell.cuts[1:], strict=True)) if j > i])
         del cell
         release()
         return made
@@ -242,7 +315,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
             if j > i:
                 which = mine[i:j]
                 s = cell.sample[which]
-                numbers = np.stack([(cell.h[which] & U(0xFFFFFFFF)).astype(np.int64), cell.first_rank[which], cell.hi[s] - cell.lo[s]]).astype("<i8")
+                numbers = np.stack([(cell.h[which] & U(0xFFFFFFFF)).astype(np.int64), cell.first_rank[which], (cell.hi[s] - cell.lo[s]).astype(np.int64) | cell.at[s].astype(np.int64) << 8]).astype("<i8")
                 rows.append((b, at, numbers.tobytes(), b"".join([cell.data[x:y].tobytes() for x, y in zip(cell.lo[s].tolist(), cell.hi[s].tolist(), strict=True)]), None))
         del cell
         release()
@@ -251,14 +324,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
     def judge(table: pa.Table) -> pa.Table:
         rows = list(zip(table["cell"].to_pylist(), table["bucket"].to_pylist(), table["a"].to_pylist(), table["b"].to_pylist(), strict=True))
         numbers = [np.frombuffer(r[2], "<i8").reshape(3, -1) for r in rows]
-        h, rank, size = np.concatenate(numbers, 1)
+        h, rank, both = np.concatenate(numbers, 1)
+        size, at = both & 255, both >> 8
         counts = [x.shape[1] for x in numbers]
         when = np.repeat(np.array([r[0] for r in rows], np.int64) << 40, counts) + rank
         body = np.frombuffer(b"".join([r[3] for r in rows]), np.uint8)
-        bits, groups = np.zeros(len(h), np.uint64), max(1, len(body) // INDEXED)
-        for g in range(groups):  # anchors are dealt over as many indexes as their size asks for
-            here = h % groups == g
-            bits[here] = earlier(h[here], when[here], body[np.repeat(here, size)], size[here], length)
+        bits = judged(h, when, at, body, np.cumsum(size) - size, size, length)
         release()
         at = np.cumsum([0, *counts])
         return _reply(2, [r[0] for r in rows], [r[1] for r in rows], [bits[a:b].astype("<u8").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])
@@ -296,7 +367,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
             body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(kept_off.astype(np.int64)), pa.py_buffer(data[~away])]).cast(pa.binary())
             if as_text:
                 body = pa.array([x.decode("utf-8", "ignore") for x in body.to_pylist()], pa.string())
-            made.append(pa.table([*(cell.table[c].slice(i, j - i) for c in names), pa.array(np.diff(off)), *spans, body], names=[*names, "n_bytes", "span_starts", "span_ends", "kept"]))
+            made.append(pa.table([*(cell.table[f"c{c}"].slice(i, j - i) for c in range(len(names))), pa.array(np.diff(off)), *spans, body], names=[*names, "n_bytes", "span_starts", "span_ends", "kept"]))
         del cell
         release()
         return pa.concat_tables(made)

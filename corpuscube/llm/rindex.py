@@ -50,7 +50,6 @@ class RunLengthIndex:
         last = self.text[order - 1]  # the symbol before each suffix; round to the end before the first
         self.first = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]])) if len(last) else np.zeros(0, np.int64)
         self.end = np.append(self.first[1:], len(last)) - 1
-        self.run = np.repeat(np.arange(len(self.first), dtype=np.int32), self.end - self.first + 1)  # rank of run heads
         self.head = last[self.first].astype(np.int64)
         self.sample_first, self.sample_end = order[self.first], order[self.end]
         size = self.end - self.first + 1
@@ -62,6 +61,10 @@ class RunLengthIndex:
         self.runs = len(self.first)
         self.places = self.head[by] * self.runs + by  # runs ordered by symbol and place
 
+    def run_of(self, row: np.ndarray) -> np.ndarray:
+        """The run of each row, by a search among the runs' first rows."""
+        return np.searchsorted(self.first, row, "right") - 1
+
     def matching_statistics(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """patterns: one a row, symbols 1 to 256, padded with 0 at the right.  For each
         place, the length of the longest match that begins there and where the text has it."""
@@ -73,7 +76,7 @@ class RunLengthIndex:
         padded = np.concatenate([self.text, np.zeros(wide + 1, np.int16)])
         for column in range(wide - 1, -1, -1):
             symbol = patterns[:, column].astype(np.int64)
-            run = self.run[row]
+            run = self.run_of(row)
             miss = np.flatnonzero((self.head[run] != symbol) & (symbol > 0))
             if len(miss):
                 place = np.searchsorted(self.places, symbol[miss] * self.runs + run[miss])
@@ -89,7 +92,7 @@ class RunLengthIndex:
                     b_row[take] = (self.end[there] if side else self.first[there])[take]
                 none = best < 0
                 row[miss], at[miss], size[miss] = b_row, b_at, np.maximum(best, 0)
-                run = self.run[row]
+                run = self.run_of(row)
                 absent = miss[none]
             else:
                 absent = miss

@@ -37,17 +37,17 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 U = np.uint64
 _rng = np.random.default_rng(20240607)
-#: Each byte's random 64-bit value, an odd base and its inverse modulo 2**64.
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Of two hashes that have nothing in common: each byte's random 64-bit value, an odd base, and
+#: the powers of the base and of its inverse modulo 2**64.
+_BYTES = [_rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1) for _ in range(2)]
+_BASES = [x for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F) for x in (base, pow(base, -1, 1 << 64))]
+_powers = [np.ones(1, np.uint64) for _ in _BASES]
 
 
 def _power(which: int, n: int) -> np.ndarray:
     got = _powers[which]
     while len(got) < n:
-        step = U(pow((_BASE, _INVERSE)[which], len(got), 1 << 64))
+        step = U(pow(_BASES[which], len(got), 1 << 64))
         got = np.concatenate([got, got * step])
     _powers[which] = got
     return got[:n]
@@ -65,17 +65,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Prefix:
     """Hashes of arbitrary spans of one buffer, each by one subtraction and one product."""
 
-    def __init__(self, data: np.ndarray):
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _power(0, len(data)), out=self.sums[1:])
+    def __init__(self, data: np.ndarray, which: int = 0):
+        self.which, self.sums = which, np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTES[which][data] * _power(2 * which, len(data)), out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        back = _power(1, len(self.sums))
+        back = _power(2 * self.which + 1, len(self.sums))
         return mix((self.sums[ends] - self.sums[starts]) * back[starts])
 
     def all(self, n: int) -> np.ndarray:
         """Of every span of n bytes, a product that `mix` would make a hash."""
-        return (self.sums[n:] - self.sums[:-n]) * _power(1, len(self.sums) - n)
+        return (self.sums[n:] - self.sums[:-n]) * _power(2 * self.which + 1, len(self.sums) - n)
 
 
 def same_bytes(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -391,3 +391,34 @@ def test_running_sums(spark):
     rows = spark.range(500).select(F.pmod(F.xxhash64("id"), F.lit(97)).alias("k"), "id")
     got = ranges.running(rows, [F.col("k").asc(), F.col("id").asc()], {"n": F.lit(1), "s": F.col("id")}).toPandas().sort_values(["k", "id"])
     assert (got.n.values == np.arange(500)).all() and (got.s.values == np.cumsum(got.id.values) - got.id.values).all()
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([60, 300, 10**6]))
+def test_contexts_of_common_anchors(seed, most):
+    """Windows that an earlier context holds, however small the indexes have to be."""
+    rng, length = np.random.default_rng(seed), 50
+    anchor = rng.integers(97, 99, repeats.GRAM, dtype=np.uint8)
+    bodies, at, h, order = [], [], [], []
+    for _ in range(40):
+        before, after = rng.integers(0, 27), rng.integers(0, 27)
+        if before + after < length - repeats.GRAM:
+            continue
+        sides = [rng.choice([97, 97, 97, 98], n).astype(np.uint8) for n in (before, after)]
+        which = rng.integers(0, 2)
+        bodies.append(np.concatenate([sides[0], anchor ^ np.uint8(which), sides[1]]))
+        at.append(before)
+        h.append(which)
+        order.append(rng.integers(0, 12))
+    if not bodies:
+        return
+    size = np.array([len(b) for b in bodies])
+    got = repeats.judged(np.array(h), np.array(order), np.array(at), np.concatenate(bodies), np.cumsum(size) - size, size, length, most)
+    windows = [(o, k, a - j, b[j : j + length].tobytes()) for o, k, a, b in zip(order, h, at, bodies) for j in range(len(b) - length + 1)]
+    for i, b in enumerate(bodies):
+        for j in range(len(b) - length + 1):
+            w = b[j : j + length].tobytes()
+            held = any(o < order[i] and x == w for o, _, _, x in windows)
+            sure = any(o < order[i] and (k, r, x) == (h[i], at[i] - j, w) for o, k, r, x in windows)
+            told = bool(int(got[i]) >> j & 1)
+            assert told <= held and sure <= told

@@ -58,7 +58,7 @@ def test_one_of_each_group_of_near_copies_stays(stages):
 
     assert all(close(d) for d in set(sets) - kept)  # nothing else went
     left = sum(len([o for o in close(d) if o in kept]) for d in kept)
-    assert left <= 2
+    assert left == 0
 
 
 def test_repeats_are_cut(stages):
