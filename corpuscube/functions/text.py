@@ -238,15 +238,18 @@ def chunked(text: str, size: int = 400) -> list[str]:
 
 # Abbreviations whose full stop ends no sentence.
 ABBREVIATIONS = "mr mrs ms dr prof st fig eq cf etc vs v al chap pp vol inc ltd jr sr gen gov col capt lt ft approx dept est avg no m mme mm pr éd ed e.g i.e p n°".split()
+# An abbreviation, an initial, and what ends and begins a sentence.
 _ABBREVIATED = re.compile(r"\b(" + "|".join(re.escape(a) for a in sorted(ABBREVIATIONS, key=len, reverse=True)) + r")\.(?=\s)", re.IGNORECASE)
 _INITIAL = re.compile(r"\b([A-Za-zÀ-Ý])\.(?=\s?[A-ZÀ-Ý])")
+_ENDED = re.compile(r"[.!?…]+[\"')\]»”]*\s+")
+_BEGUN = re.compile(r"[\"'«(\[]?[A-ZÀ-ÖØ-Þ0-9]")
 
 
 def sentences(block: str) -> list[str]:
     """sentences of a paragraph: a terminator, closers and space before a capital or a
     digit end one, but not after an abbreviation or an initial; one character is none."""
     held = _INITIAL.sub("\\1\x01", _ABBREVIATED.sub("\\1\x01", block.replace("\x01", ".")))
-    ends = [m.end() for m in re.finditer(r"[.!?…]+[\"')\]»”]*\s+", held) if re.match(r"[\"'«(\[]?[A-ZÀ-ÖØ-Þ0-9]", held[m.end() :])]
+    ends = [m.end() for m in _ENDED.finditer(held) if _BEGUN.match(held, m.end())]
     cut = [held[a:b] for a, b in zip([0, *ends], [*ends, len(held)])]
     plain = [re.sub(r"\s+", " ", x.replace("\x01", ".").strip()) for x in cut]
     return [x for x in plain if len(x) >= 2]
