@@ -33,12 +33,17 @@ viewer sketch watercolor fresco acrylic perspective harmony""".split(),
 }
 
 # Letter groups and letters in Cyrillic.
-GROUPS = dict(
-    x.split("=")
-    for x in """tion=ция sion=зия tial=циаль cial=циаль ough=о ight=айт ch=ч sh=ш th=т ph=ф ck=к qu=кв wh=в ee=и ea=и oo=у ou=у oi=ой
-ay=ей ey=и au=о ai=ей ei=ей ia=ия ct=кт ll=лл mm=мм ss=сс rr=рр""".split()
-)
-LETTERS = dict(x.split("=") for x in "a=а b=б c=к d=д e=е f=ф g=г h=х i=и j=дж k=к l=л m=м n=н o=о p=п r=р s=с t=т u=у v=в w=в x=кс y=и z=з".split())
+GROUPS = {
+    "tion": "ция", "sion": "зия", "tial": "циаль", "cial": "циаль", "ough": "о", "ight": "айт", "ch": "ч", "sh": "ш",
+    "th": "т", "ph": "ф", "ck": "к", "qu": "кв", "wh": "в", "ee": "и", "ea": "и", "oo": "у", "ou": "у", "oi": "ой",
+    "ay": "ей", "ey": "и", "au": "о", "ai": "ей", "ei": "ей", "ia": "ия", "ct": "кт", "ll": "лл", "mm": "мм",
+    "ss": "сс", "rr": "рр",
+}
+LETTERS = {
+    "a": "а", "b": "б", "c": "к", "d": "д", "e": "е", "f": "ф", "g": "г", "h": "х", "i": "и", "j": "дж", "k": "к",
+    "l": "л", "m": "м", "n": "н", "o": "о", "p": "п", "r": "р", "s": "с", "t": "т", "u": "у", "v": "в", "w": "в",
+    "x": "кс", "y": "и", "z": "з",
+}
 
 _PIECE = re.compile("|".join(sorted(GROUPS, key=len, reverse=True)) + "|c(?=[eiy])|.", re.DOTALL)
 _FLAGS = {"m": ("gender", "m"), "f": ("gender", "f"), "n": ("gender", "n"), "anim": ("anim", True), "inv": ("inv", True), "adjdecl": ("adjdecl", True), "impf": ("aspect", "impf"), "pf": ("aspect", "pf")}

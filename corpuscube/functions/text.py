@@ -71,6 +71,14 @@ def _spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
 
 
+def marker_language(text: Column) -> Column:
+    """French or English by distinct marker words, then by stop-words; French wins a tie."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-zA-Zà-ÿÀ-ÿ']+"), F.lit(0)))
+    many = lambda listed: F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in sorted(set(listed))])))
+    marks, stops = many(FRENCH_MARKERS) - many(ENGLISH_MARKERS), many(SUMMARY["fr"]) - many(SUMMARY["en"])
+    return F.when(F.when(marks != 0, marks).otherwise(stops) >= 0, "fr").otherwise("en")
+
+
 def safe_name(text: Column) -> Column:
     """a name for a file."""
     return F.regexp_replace(F.trim(text), r'[\\/:*?"<>|\s]+', "_")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -32,6 +36,20 @@ def near(df: DataFrame, most: int = 100_000) -> DataFrame:
     return df if rows.num_rows > most else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name where driver and executors both reach: under spark.checkpoint.dir; one
+    of our own only where that is unset and they are one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="corpuscube-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def reach(spark: SparkSession) -> None:
     """Python workers find this package where they share the driver's file system."""
     env = spark.sparkContext.environment

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from corpuscube.functions import text as tx
 
@@ -167,6 +167,23 @@ def samples(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("name", F.substring(F.split(F.trim("text"), "\n")[0], 1, 80).alias("title"), F.length("text").alias("size"))
 
 
+def lead_and_body(text: Column) -> Column:
+    """struct(lead, body): what stands before and after the first section heading (== so ==)
+    of an article, or else its first paragraph and the rest."""
+    by_heading = F.split(text, r"(?m)^==\s.*\s==\s*$", 2)
+    by_blank = F.split(text, "\n\n", 2)
+    parts = F.when(F.size(by_heading) == 2, by_heading).otherwise(by_blank)
+    return F.struct(parts[0].alias("lead"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("body"))
+
+
+def kept_facts(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """Facts that a run has left as one CSV file, for a report without another run; `columns`
+    says what is read as what, so that territories' codes stay texts."""
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    kinds = T._parse_datatype_string(columns)
+    return rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns]).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds.fields])
+
+
 def cleaned_book(lines: Iterator[str]) -> str:
     """an e-book without licence head and foot, footnote marks and ragged blanks."""
     import re
