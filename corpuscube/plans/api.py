@@ -167,9 +167,13 @@ def parse_years(text: str) -> tuple[int | None, int | None]:
 
 def values_filter(dims: DataFrame, years: Sequence[int], geo: Sequence[str] | None = None, chosen: dict[str, list[str]] | None = None) -> dict[str, list[str]]:
     """what a request asks of each dimension (dim_id, is_time, is_geo): the years, the
-    territories, the codes chosen; an empty list is all of them.  A structure's dimensions are few."""
+    territories, the codes chosen; an empty list is all of them.  A structure has a few
+    dimensions; over a thousand are an error."""
     out: dict[str, list[str]] = {}
-    for r in dims.select("dim_id", "is_time", "is_geo").limit(1000).collect():
+    rows = dims.select("dim_id", "is_time", "is_geo").limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("a structure of over 1,000 dimensions")
+    for r in rows:
         picked = (chosen or {}).get(r["dim_id"])
         out[r["dim_id"]] = [str(y) for y in years] if r["is_time"] else list(geo) if r["is_geo"] and geo is not None else list(picked or [])
     return out

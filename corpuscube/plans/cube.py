@@ -32,12 +32,12 @@ def _observations(spark, d):
     c = _table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     base = o.join(c, "o_custkey").groupBy("c_nationkey", "o_orderpriority", "year").agg(F.sum("price").alias("amount"), F.count(F.lit(1)).alias("n"))
     n = _table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
-    base.join(n, "c_nationkey").createOrReplaceTempView("__cube_base")
     rolled = spark.sql(
         """SELECT year, n_regionkey, c_nationkey, o_orderpriority, sum(amount) AS amount, sum(n) AS n,
-        grouping(n_regionkey) AS gr, grouping(c_nationkey) AS gn, grouping(o_orderpriority) AS gp FROM __cube_base
+        grouping(n_regionkey) AS gr, grouping(c_nationkey) AS gn, grouping(o_orderpriority) AS gp FROM {base}
         GROUP BY year, n_regionkey, c_nationkey, o_orderpriority GROUPING SETS (
-          (year, n_regionkey, c_nationkey, o_orderpriority), (year, n_regionkey, c_nationkey), (year, n_regionkey, o_orderpriority), (year, n_regionkey), (year, o_orderpriority), (year))"""
+          (year, n_regionkey, c_nationkey, o_orderpriority), (year, n_regionkey, c_nationkey), (year, n_regionkey, o_orderpriority), (year, n_regionkey), (year, o_orderpriority), (year))""",
+        base=base.join(n, "c_nationkey"),
     )
     geo = F.when(F.col("gr") == 1, "W").when(F.col("gn") == 1, F.concat(F.lit("R"), "n_regionkey")).otherwise(F.concat(F.lit("N"), "c_nationkey"))
     kind = F.when(F.col("gp") == 1, cb.TOTAL).otherwise(F.col("o_orderpriority"))

@@ -149,7 +149,50 @@ def ir_mean_curve(spark, d):
     return _rounded(ev.mean_curve(ev.metrics(_ranking(spark, d), _marks(spark, d))), ["precision"])
 
 
-QUERIES = [ir_postings, ir_terms_idf, ir_term_ids, ir_keywords_top5, ir_search_or, ir_search_and, ir_search_not, ir_search_fallback, ir_search_page2, ir_search_words, ir_index_info, ir_search_stemmed, ir_snippets, ir_titles, ir_metrics, ir_pr_curve, ir_pr_cuts, ir_macro_micro, ir_mean_curve]
+def ir_search_dates(spark, d):
+    """Hits from the middle of a month; a document's date is as many days into 2024 as its id."""
+    params = SearchParams("shed heat", date_from="2024-03-10", date_to="2024-03-20")
+    dates = _docs(spark, d).select("doc_id", F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 366).cast("int")), "yyyy-MM-dd").alias("date"))
+    return rt.page(rt.select(_asked(spark, d, params.q), params, dates), 0, 10).select("rank", "doc_id", "matched", F.round("score", 6).alias("score"), "fallback")
+
+
+def ir_pages(spark, d):
+    """Hits and pages of ten of each fixed query."""
+    total = _ranking(spark, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    return total.withColumn("pages", rt.page_count(F.col("total"), F.lit(10)))
+
+
+def ir_displays(spark, d):
+    """A4: the spelling first seen of each term, where terms are lower-cased first letters and lengths."""
+    docs = _docs(spark, d)
+    each = docs.select("doc_id", F.posexplode(rt.tx.tokens(F.col("text"))).alias("first_at", "token"))
+    return rt.display_forms(each.withColumn("term", F.concat(F.substring("token", 1, 1), F.length("token").cast("string"))))
+
+
+def txt_paragraphs(spark, d):
+    """F13"""
+    return _docs(spark, d).select("doc_id", F.posexplode(rt.tx.paragraphs(F.col("text"))).alias("at", "paragraph")).withColumn("paragraph", F.md5("paragraph"))
+
+
+def txt_normalized(spark, d):
+    """F9"""
+    return _docs(spark, d).select("doc_id", F.md5(rt.tx.nfkc_lower("text")).alias("hash"))
+
+
+def txt_safe_names(spark, d):
+    """F57"""
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", rt.tx.safe_name(F.col("url")).alias("name"))
+
+
+def txt_leads(spark, d):
+    """Documents as articles whose first section follows their first paragraph."""
+    from corpuscube.sources.files import lead_and_body
+
+    docs = _docs(spark, d).select("doc_id", F.concat(F.lit("lead "), "source", F.when(F.col("doc_id") % 3 == 0, "\n== One ==\n").when(F.col("doc_id") % 3 == 1, "\n\n").otherwise(" "), "text").alias("t"))
+    return docs.select("doc_id", lead_and_body(F.col("t")).alias("x")).select("doc_id", "x.lead", F.md5("x.body").alias("body")).where("doc_id % 3 = 0")
+
+
+QUERIES = [ir_search_dates, ir_pages, ir_displays, txt_paragraphs, txt_normalized, txt_safe_names, txt_leads, ir_postings, ir_terms_idf, ir_term_ids, ir_keywords_top5, ir_search_or, ir_search_and, ir_search_not, ir_search_fallback, ir_search_page2, ir_search_words, ir_index_info, ir_search_stemmed, ir_snippets, ir_titles, ir_metrics, ir_pr_curve, ir_pr_cuts, ir_macro_micro, ir_mean_curve]
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in RETRIEVAL)
 _COUNTS = f"""tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
@@ -209,6 +252,13 @@ SQL = {
     "ir_search_not": _search_sql(["shed", "heat"], ["edly"]),
     "ir_search_fallback": _search_sql(["shed", "xylophone"], all_words=True),
     "ir_search_page2": _search_sql(["shed", "heat", "ingtion"], offset=10),
+    "ir_search_dates": f"WITH {_COUNTS}, {_hits(['shed', 'heat'])}, dated AS (SELECT doc_id FROM documents WHERE DATE '2024-01-01' + (doc_id % 366)::INT BETWEEN DATE '2024-03-10' AND DATE '2024-03-20'), again AS (SELECT * EXCLUDE (rank), row_number() OVER (ORDER BY matched DESC, score DESC, doc_id) AS rank FROM ranked JOIN dated USING (doc_id)) SELECT rank, doc_id, matched, round(score, 6) AS score, fallback FROM again WHERE rank <= 10",
+    "ir_pages": f"WITH {_rank_sql()} SELECT query_id, count(*) AS total, ceil(count(*) / 10)::BIGINT AS pages FROM ranking GROUP BY 1",
+    "ir_displays": "WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ws FROM documents), e AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM t) SELECT w[1] || length(w) AS term, min_by(w, doc_id * 1000000000 + i) AS display FROM e GROUP BY 1",
+    "txt_paragraphs": r"WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents) SELECT doc_id, unnest(range(len(ps)))::INT AS at, md5(unnest(ps)) AS paragraph FROM p",
+    "txt_normalized": "SELECT doc_id, md5(lower(nfc_normalize(text))) AS hash FROM documents",
+    "txt_safe_names": r"""SELECT page_id, regexp_replace(trim(url), '[\\/:*?"<>|\s]+', '_', 'g') AS name FROM pages""",
+    "txt_leads": "SELECT doc_id, 'lead ' || source || chr(10) AS lead, md5(chr(10) || text) AS body FROM documents WHERE doc_id % 3 = 0 AND source IS NOT NULL AND text IS NOT NULL",
     "ir_search_words": f"WITH {_COUNTS}, q AS (SELECT unnest(['shed', 'xylophone']) AS w), k AS (SELECT w, w IN (SELECT term FROM terms) AS known FROM q) SELECT coalesce(list(w ORDER BY w) FILTER (WHERE known), []) AS known, coalesce(list(w ORDER BY w) FILTER (WHERE NOT known), []) AS unknown, 'and' AS mode FROM k",
     "ir_index_info": f"WITH {_COUNTS} SELECT (SELECT count(*) FROM documents) AS documents, count(DISTINCT term) AS terms, count(*) AS postings, sum(tf)::BIGINT AS words FROM counts",
     "ir_metrics": f"WITH {_rank_sql()} SELECT query_id, total_found, total_relevant, found_relevant::BIGINT AS found_relevant, {', '.join(f'round({n}, 9) AS {n}' for n in _NAMES)} FROM metrics",

@@ -75,7 +75,15 @@ def lid_html_text(spark, d):
     return li.pages_text(spark.read.parquet(f"{d}/pages.parquet")).select("page_id", "text", "chars")
 
 
-QUERIES = [lid_ngram_profile, lid_document_profile, lid_letter_freq, lid_diacritics, lid_out_of_place, lid_alphabet, lid_accuracy, lid_per_language, lid_confusion, lid_pair_agreement, lid_suite_table, lid_html_text]
+def lid_suite_summary(spark, d):
+    """What the methods got right and how often each two of them agree, in one table."""
+    found = _results(spark, d)
+    methods = li.method_report(found).select(F.lit("method").alias("kind"), F.col("method").alias("name"), F.col("correct").alias("n"), F.round("accuracy", 9).alias("share"))
+    pairs = li.pair_agreement(found).select(F.lit("pair"), F.concat_ws(" ", "first", "second"), "compared", F.round("agreement", 9))
+    return methods.union(pairs)
+
+
+QUERIES = [lid_suite_summary, lid_ngram_profile, lid_document_profile, lid_letter_freq, lid_diacritics, lid_out_of_place, lid_alphabet, lid_accuracy, lid_per_language, lid_confusion, lid_pair_agreement, lid_suite_table, lid_html_text]
 
 
 def _grams(key: str, where: str = "") -> str:
@@ -123,3 +131,4 @@ SQL = {
     "lid_confusion": f"{_RESULTS} SELECT method, lang_true, CASE WHEN error IS NOT NULL THEN '—' ELSE coalesce(lang, '—') END AS predicted, count(*) AS n FROM judged GROUP BY ALL",
     "lid_pair_agreement": f"{_RESULTS}, pairs AS (SELECT * FROM (VALUES ('ngram', 'alphabet'), ('ngram', 'neural'), ('alphabet', 'neural')) t(first, second)) SELECT p.first, p.second, count(b.doc_id) AS compared, coalesce(round(avg(CASE WHEN b.doc_id IS NULL THEN NULL WHEN a.lang = b.lang THEN 1.0 ELSE 0.0 END), 9), 0) AS agreement FROM pairs p LEFT JOIN judged a ON a.method = p.first AND a.error IS NULL LEFT JOIN judged b ON b.method = p.second AND b.doc_id = a.doc_id AND b.error IS NULL GROUP BY ALL",
 }
+SQL["lid_suite_summary"] = SQL["lid_pair_agreement"].replace("SELECT p.first, p.second,", "SELECT 'pair' AS kind, p.first || ' ' || p.second AS name,").replace("AS compared", "AS n").replace("AS agreement", "AS share").replace("GROUP BY ALL", "GROUP BY ALL", 1) + " UNION ALL SELECT 'method', method, count_if(error IS NULL AND lang = lang_true)::BIGINT, round(count_if(error IS NULL AND lang = lang_true) / count(*), 9) FROM judged GROUP BY method"

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscube.plans import cube, forms, ir, lex, lid, summ
+from corpuscube.plans import cube, forms, ir, lex, lid, store, summ
 
 FLAGSHIP = "ir_search_or"
-FAMILIES = (ir, lid, cube, summ, lex, forms)
+FAMILIES = (ir, lid, cube, summ, lex, forms, store)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
