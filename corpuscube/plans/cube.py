@@ -189,7 +189,96 @@ def cube_request_plan(spark, d):
     return cb.request_plan(years, dims, most_codes=10).select(F.col("window").cast("bigint").alias("window"), "year_from", "year_to", "dim", F.col("batch").cast("bigint").alias("batch"), "codes")
 
 
-QUERIES = [cube_hierarchy, cube_facts, cube_fact_id_sha1, cube_dedupe_last, cube_rollup_levels, cube_coverage, cube_consistency, cube_top_units, cube_national_series, cube_growth_lag, cube_long_table, cube_wide_pivot, cube_coverage_matrix, cube_type_share, cube_region_totals, cube_parse_value, cube_territories, cube_indicators, cube_data_flag, cube_api_summary, cube_name_search, cube_facts_page, cube_decoded, cube_dataset_stats, cube_request_plan]
+def cube_levels(spark, d):
+    """Territories of one level, and of chosen ones."""
+    from corpuscube.plans.api import api_territories
+
+    t = cb.hierarchy(_nodes(spark, d))
+    one = api_territories(t, 2).withColumn("asked", F.lit("2"))
+    return one.unionByName(cb.codes_of_levels(t, [0, 1]).withColumn("asked", F.lit("0,1"))).select("asked", "code", "level")
+
+
+def cube_dashboard(spark, d):
+    """Years, a text in the indicator's name, a region."""
+    rows = cb.dashboard(_facts(spark, d), 1994, 1996, needle="ORDER V", region="ASIA")
+    return rows.select("year", "geo_code", "breakdown_key", F.round("value", 2).alias("value"))
+
+
+def cube_regions(spark, d):
+    """P9"""
+    return cb.regions(_facts(spark, d))
+
+
+def cube_order(spark, d):
+    """The first hundred totals in the table's order; those of the world, which have no level
+    here, come last."""
+    f = _facts(spark, d).withColumn("geo_level", F.when(F.length("geo_code") > 1, F.col("geo_level")))
+    first = cb.ordered_facts(f.where((F.col("indicator_code") == COUNTS) & cb.is_total())).limit(100)
+    return first.select("fact_id", "geo_level")
+
+
+def cube_merged_lists(spark, d):
+    """Entries of three indicators under one key: territories keep the first, codes the last."""
+    n = _table(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("code"), F.col("n_name").alias("name"))
+    parts = [n.where("code <> 'N1'"), n.withColumn("name", F.lower("name")), n.where("code < 'N2'").withColumn("name", F.lit("last"))]
+    both = [cb.merged_dictionaries(parts, ["code"], keep=k).withColumn("keep", F.lit(k)) for k in ("first", "last")]
+    return both[0].unionByName(both[1]).select("keep", "code", "name")
+
+
+def cube_accumulated(spark, d):
+    """Answers of two windows, and those that are errors apart."""
+    o = _table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 7 == 0, "try later").when(F.col("o_orderkey") % 7 == 1, "DATAFLOW only").otherwise(F.concat(F.lit("a,"), "o_orderpriority")).alias("body"))
+    good, bad = cb.accumulate([o.where("seq % 2 = 0"), o.where("seq % 2 = 1")])
+    return good.withColumn("ok", F.lit(True)).unionByName(bad.withColumn("ok", F.lit(False))).groupBy("window", "ok", "body").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cube_located(spark, d):
+    """Nations, named as towns, at the places of a geocode table that has some of them."""
+    n = _table(spark, d, "nation")
+    t = n.select(F.concat(F.lit("N"), "n_nationkey").alias("code"), F.concat(F.element_at(F.array(*[F.lit(x) for x in ("г. ", "город ", "гп ", "")]), (F.col("n_nationkey") % 4 + 1).cast("int")), "n_name").alias("name"))
+    places = n.where("n_nationkey % 3 = 0").select(F.col("n_name").alias("place"), F.col("n_nationkey").cast("double").alias("lat"), F.lit(1.5).alias("lon"))
+    return cb.located(t, places).select("code", "lat", "lon")
+
+
+def cube_nested(spark, d):
+    """Regions and nations as a page's nested objects."""
+    nations = _table(spark, d, "nation").orderBy("n_nationkey").collect()
+    regions_ = _table(spark, d, "region").orderBy("r_regionkey").collect()
+    tree = {"code": "W", "name": " The  World ", "children": [{"code": f"R{r['r_regionkey']}", "name": r["r_name"], "children": [{"code": f"N{n['n_nationkey']}", "name": n["n_name"]} for n in nations if n["n_regionkey"] == r["r_regionkey"]]} for r in regions_]}
+    return cb.hierarchy(cb.nested_nodes(spark, tree)).select("code", "name", "level", "region_name")
+
+
+def cube_structure(spark, d):
+    """The dimensions of a structure message whose territories are the regions."""
+    regions_ = [r["r_name"] for r in _table(spark, d, "region").collect()]
+    urn = "urn:sdmx:org.sdmx.infomodel.codelist.Codelist=X:CL_{}(1.0)"
+    message = {"data": {
+        "codelists": [{"id": "CL_geo", "name": "Places", "codes": [{"id": n, "names": {"ru": f" {n}  x", "en": n}} for n in regions_]}, {"id": "CL_kind", "codes": [{"id": "a", "name": "A"}]}],
+        "conceptSchemes": [{"concepts": [{"id": "geo", "names": {"en": "Territory"}}, {"id": "kind", "name": "Kind"}]}],
+        "dataStructures": [{"dataStructureComponents": {"dimensionList": {"dimensions": [{"id": "kind", "position": 2, "localRepresentation": {"enumeration": urn.format("kind")}}, {"id": "geo", "position": 1, "localRepresentation": {"enumeration": urn.format("geo")}}, {"id": "unit_1", "position": 3}], "timeDimensions": [{"id": "TIME_PERIOD", "position": 4}]}}}],
+    }}
+    dims, entries = cb.parse_structure(spark, message)
+    n = entries.groupBy("codelist_id").agg(F.count(F.lit(1)).alias("n"), F.max("name_ru").alias("last_name"))
+    return dims.join(n, "codelist_id", "left").select("dim_id", "position", "name", "is_time", "is_geo", "is_unit", "n_codes", "n", "last_name")
+
+
+def cube_plain_names(spark, d):
+    """F54"""
+    c = _table(spark, d, "customer")
+    return c.select("c_custkey", vl.plain_name(F.concat(F.lit("  "), "c_name", F.lit(" \t\n x "))).alias("name"))
+
+
+def cube_top_indicators(spark, d):
+    """The indicators with the most facts."""
+    return cb.top_indicators(cb.indicator_table(_indicators(spark), _facts(spark, d)), 1).select("indicator_code", "n_facts")
+
+
+def cube_totals(spark, d):
+    """P10: facts that are totals of all kinds."""
+    return _facts(spark, d).groupBy(cb.is_total().alias("total")).agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = [cube_levels, cube_dashboard, cube_regions, cube_order, cube_merged_lists, cube_accumulated, cube_located, cube_nested, cube_structure, cube_plain_names, cube_top_indicators, cube_totals, cube_hierarchy, cube_facts, cube_fact_id_sha1, cube_dedupe_last, cube_rollup_levels, cube_coverage, cube_consistency, cube_top_units, cube_national_series, cube_growth_lag, cube_long_table, cube_wide_pivot, cube_coverage_matrix, cube_type_share, cube_region_totals, cube_parse_value, cube_territories, cube_indicators, cube_data_flag, cube_api_summary, cube_name_search, cube_facts_page, cube_decoded, cube_dataset_stats, cube_request_plan]
 
 _NODES = "nodes AS (SELECT 'W' AS code, 'World' AS name, NULL::VARCHAR AS parent UNION ALL SELECT 'R' || r_regionkey, r_name, 'W' FROM region UNION ALL SELECT 'N' || n_nationkey, n_name, 'R' || n_regionkey FROM nation UNION ALL SELECT 'C' || c_custkey, c_name, 'N' || c_nationkey FROM customer)"
 _LEVELS = """levels AS (
@@ -236,3 +325,18 @@ SQL = {
     "cube_dataset_stats": f"{_FACTS} SELECT count(*) AS facts, count(DISTINCT indicator_code) AS indicators, count(DISTINCT geo_code) AS territories, count(DISTINCT year) AS years, count_if(value IS NULL)::BIGINT AS missing FROM facts",
     "cube_request_plan": "WITH y AS (SELECT year, (row_number() OVER (ORDER BY year) - 1) // 10 AS w FROM (SELECT DISTINCT year(o_orderdate) AS year FROM orders)), w AS (SELECT w::BIGINT AS \"window\", min(year)::INT AS year_from, max(year)::INT AS year_to FROM y GROUP BY w), b AS (SELECT p_brand, (row_number() OVER (ORDER BY p_brand) - 1) // 10 AS batch FROM (SELECT DISTINCT p_brand FROM part)), c AS (SELECT 'brand' AS dim, batch::BIGINT AS batch, count(*) AS codes FROM b GROUP BY batch) SELECT * FROM w, c",
 }
+SQL |= {
+    "cube_levels": f"WITH RECURSIVE {_NODES}, {_LEVELS} SELECT CASE level WHEN 2 THEN '2' ELSE '0,1' END AS asked, code, level FROM levels WHERE level <= 2",
+    "cube_dashboard": f"{_FACTS} SELECT year, geo_code, breakdown_key, round(value, 2) AS value FROM facts WHERE year BETWEEN 1994 AND 1996 AND contains(lower(indicator_name_ru), 'order v') AND region_name_ru = 'ASIA'",
+    "cube_regions": "SELECT DISTINCT r_name AS region_name_ru FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey",
+    "cube_order": f"{_FACTS} SELECT fact_id, CASE WHEN length(geo_code) > 1 THEN geo_level END AS geo_level FROM facts WHERE indicator_code = '{COUNTS}' AND breakdown_key LIKE '%{cb.TOTAL}%' ORDER BY CASE WHEN length(geo_code) > 1 THEN geo_level END NULLS LAST, geo_code, breakdown_key, time_period LIMIT 100",
+    "cube_merged_lists": "WITH n AS (SELECT 'N' || n_nationkey AS code, n_name AS name FROM nation) SELECT 'first' AS keep, code, CASE code WHEN 'N1' THEN lower(name) ELSE name END AS name FROM n UNION ALL SELECT 'last', code, CASE WHEN code < 'N2' THEN 'last' ELSE lower(name) END FROM n",
+    "cube_accumulated": "SELECT (o_orderkey % 2)::INT AS \"window\", o_orderkey % 7 > 0 AS ok, CASE o_orderkey % 7 WHEN 0 THEN 'try later' WHEN 1 THEN 'DATAFLOW only' ELSE 'a,' || o_orderpriority END AS body, count(*) AS n FROM orders GROUP BY ALL",
+    "cube_located": "SELECT 'N' || n_nationkey AS code, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey::DOUBLE END AS lat, CASE WHEN n_nationkey % 3 = 0 THEN 1.5::DOUBLE END AS lon FROM nation",
+    "cube_nested": f"WITH RECURSIVE {_NODES}, {_LEVELS} SELECT code, CASE code WHEN 'W' THEN 'The World' ELSE name END AS name, level, region_name FROM levels WHERE level <= 2",
+    "cube_structure": "SELECT * FROM (VALUES ('geo', 1, '', false, true, false), ('kind', 2, 'Kind', false, false, false), ('unit_1', 3, '', false, false, true), ('TIME_PERIOD', 4, '', true, false, false)) t(dim_id, position, name, is_time, is_geo, is_unit) LEFT JOIN (SELECT 'geo' AS d, count(*) AS n, max(r_name) || ' x' AS last_name FROM region UNION ALL SELECT 'kind', 1, 'A') ON d = dim_id JOIN (SELECT unnest(['geo', 'kind', 'unit_1', 'TIME_PERIOD']) AS e, unnest([(SELECT count(*)::INT FROM region), 1, 0, 0]) AS n_codes) ON e = dim_id",
+    "cube_plain_names": "SELECT c_custkey, c_name || ' x' AS name FROM customer",
+    "cube_top_indicators": f"{_FACTS} SELECT indicator_code, count(*) AS n_facts FROM facts GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1",
+    "cube_totals": f"{_FACTS} SELECT breakdown_key LIKE '%{cb.TOTAL}%' AS total, count(*) AS n FROM facts GROUP BY 1",
+}
+SQL["cube_structure"] = SQL["cube_structure"].replace("SELECT * FROM", "SELECT dim_id, position, name, is_time, is_geo, is_unit, n_codes, n, last_name FROM", 1)

@@ -267,3 +267,7 @@ SQL = {
     "ir_macro_micro": f"WITH {_rank_sql()}, s AS (SELECT sum(found_relevant) / sum(total_found) AS mp, sum(found_relevant) / sum(total_relevant) AS mr FROM metrics) SELECT count(*) AS queries, {_MEANS}, round(any_value(mp), 9) AS micro_precision, round(any_value(mr), 9) AS micro_recall, round(2 * any_value(mp) * any_value(mr) / (any_value(mp) + any_value(mr)), 9) AS micro_f FROM metrics, s",
     "ir_mean_curve": f"WITH {_rank_sql()} SELECT level, round(avg(precision), 9) AS precision FROM curve GROUP BY level",
 }
+# the first line, or, where it says too little, the first line and the body after it
+SQL["ir_titles"] = r"""WITH l AS (SELECT doc_id, source, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e]|\x{85}|\x{2028}|\x{2029}'), lambda x: trim(x, E' \t')), lambda x: x <> '') AS ls FROM documents),
+h AS (SELECT *, coalesce(nullif(trim(trim(ls[1], '[]{}*#='), E' \t'), ''), ls[1]) AS head, array_to_string(ls[2:], ' ') AS body FROM l)
+SELECT doc_id, CASE WHEN len(ls) = 0 THEN substr(coalesce(source, ''), 1, 100) WHEN len(regexp_extract_all(head, '\p{L}')) >= 4 THEN substr(head, 1, 100) ELSE rtrim(substr(CASE WHEN body <> '' THEN head || ' — ' || body ELSE coalesce(source, '') || ': ' || head END, 1, 100), ' ,;—-') END AS title FROM h"""
