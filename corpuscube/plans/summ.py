@@ -3,11 +3,12 @@ summaries with a reference, embeddings for sentence vectors."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from corpuscube.functions import values as vl
 from corpuscube.functions.stopwords import SUMMARY
 from corpuscube.operators import summary as sm
+from corpuscube.session import near
 
 
 def _docs(spark, d):
@@ -21,7 +22,7 @@ def _weights(spark, d):
 
 
 def _sentences(spark, d):
-    return sm.sentence_weights(sm.sentences(_docs(spark, d)), _weights(spark, d))
+    return sm.weighted_sentences(_docs(spark, d), _weights(spark, d))
 
 
 def sum_df_idf(spark, d):
@@ -34,12 +35,17 @@ def sum_word_weights(spark, d):
     return _weights(spark, d).select("doc_id", "term", "tf", F.round("base", 6).alias("base"), F.round("weight", 6).alias("weight"))
 
 
+def _shown(rows):
+    return rows.select("doc_id", "index", F.md5("text").alias("text"), *[F.round(c, 6).alias(c) for c in ("posd", "posp", "score", "weight")])
+
+
 def sum_sentence_weights(spark, d):
-    return _sentences(spark, d)
+    return _shown(_sentences(spark, d))
 
 
 def sum_topn(spark, d):
-    return sm.top_sentences(_sentences(spark, d))
+    """The heaviest sentences, by weights of nine places."""
+    return _shown(sm.top_sentences(_sentences(spark, d).withColumn("weight", F.round("weight", 9))))
 
 
 def sum_mmr(spark, d):
@@ -66,7 +72,8 @@ def sum_rouge2(spark, d):
 
 
 def sum_coverage(spark, d):
-    return sm.coverage(_weights(spark, d), sm.top_sentences(_sentences(spark, d))).withColumn("coverage", F.round("coverage", 4))
+    w = _weights(spark, d).withColumn("base", F.round("base", 9))
+    return sm.coverage(w, sm.top_sentences(_sentences(spark, d).withColumn("weight", F.round("weight", 9)))).withColumn("coverage", F.round("coverage", 4))
 
 
 def sum_scores(spark, d):
@@ -88,7 +95,16 @@ def sum_compression(spark, d):
     return p.select("id", F.round(vl.compression(F.col("reference"), F.col("hypothesis")), 6).alias("compression"))
 
 
-QUERIES = [sum_df_idf, sum_word_weights, sum_sentence_weights, sum_topn, sum_mmr, sum_keywords, sum_rouge1, sum_rouge2, sum_coverage, sum_scores, sum_cosine_centroid, sum_compression]
+def sum_cosine_topk(spark, d):
+    """The three vectors nearest to each whose id 50 divides, of cosine 0.45 or more."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
+    asked = near(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+    pairs = e.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(vl.cosine(F.col("q"), F.col("embedding")), 5).alias("cosine")).where("cosine >= 0.45")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
+    return pairs.withColumn("rank", best).where("rank <= 3")
+
+
+QUERIES = [sum_cosine_topk, sum_df_idf, sum_word_weights, sum_sentence_weights, sum_topn, sum_mmr, sum_keywords, sum_rouge1, sum_rouge2, sum_coverage, sum_scores, sum_cosine_centroid, sum_compression]
 
 _WORD = sm.tx.SUMMARY_WORD
 
@@ -123,3 +139,30 @@ SQL = {
     "sum_cosine_centroid": "WITH e AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY ALL) SELECT vec_id, round(sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))), 5) AS cosine FROM e JOIN m USING (label, i) GROUP BY vec_id",
     "sum_compression": f"WITH {_PAIRS} SELECT id, round(length(reference) / length(hypothesis), 6) AS compression FROM pairs",
 }
+
+# sentences: a mark in place of the full stops that end none, one between sentences; then each
+# sentence's place is looked for from the end of the one before.  Marks are put in twice, since
+# a pattern without look-ahead takes what the next one begins with.
+_ABBREVIATED = "(^|[^\\p{L}\\p{N}_])(" + "|".join(a.replace(".", "\\.") for a in sorted(sm.tx.ABBREVIATIONS, key=len, reverse=True)) + ")\\.(\\s)"
+_INITIAL = "(^|[^\\p{L}\\p{N}_])([A-Za-zÀ-Ý])\\.(\\s?[A-ZÀ-Ý])"
+_HELD = "block"
+for _pattern, _flags in ((_ABBREVIATED, "gi"), (_ABBREVIATED, "gi"), (_INITIAL, "g"), (_INITIAL, "g")):
+    _HELD = f"regexp_replace({_HELD}, '{_pattern}', '\\1\\2' || chr(1) || '\\3', '{_flags}')"
+_SENTENCES = f"""RECURSIVE {_COUNTS},
+b0 AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')) AS block, generate_subscripts(list_filter(list_transform(string_split_regex(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), 1) AS k FROM documents WHERE lang IN ('en', 'fr')),
+blocks AS (SELECT *, (sum(length(block) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(block) - 1)::BIGINT AS base, (sum(length(block) + 1) OVER (PARTITION BY doc_id) - 1)::BIGINT AS doc_length FROM b0),
+cut AS (SELECT *, list_filter(list_transform(string_split(regexp_replace({_HELD}, '([.!?…]+["'')\\]»”]*\\s+)(["''«(\\[]?[A-ZÀ-ÖØ-Þ0-9])', '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda x: regexp_replace(regexp_replace(replace(x, chr(1), '.'), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')), lambda x: length(x) >= 2) AS ss FROM blocks),
+walk AS (SELECT doc_id, k, 0 AS i, 0::BIGINT AS pos, 0::BIGINT AS free FROM cut UNION ALL SELECT w.doc_id, w.k, w.i + 1, pos2, pos2 + length(s) FROM (SELECT w.*, c.ss[w.i + 1] AS s, w.free + greatest(instr(substr(c.block, w.free + 1), c.ss[w.i + 1]) - 1, 0) AS pos2 FROM walk w JOIN cut c ON c.doc_id = w.doc_id AND c.k = w.k AND w.i < len(c.ss)) w),
+sent AS (SELECT w.doc_id, (row_number() OVER (PARTITION BY w.doc_id ORDER BY w.k, w.i) - 1)::INT AS index, ss[w.i] AS text, base + pos AS in_doc, pos AS in_par, length(block) AS par_length, doc_length FROM walk w JOIN cut c ON c.doc_id = w.doc_id AND c.k = w.k WHERE w.i > 0),
+weights AS (SELECT doc_id, term, tf * idf AS base, 0.5 * (1 + tf / max(tf) OVER (PARTITION BY doc_id)) * idf AS weight FROM counts JOIN freq USING (term)),
+sw AS (SELECT doc_id, index, lower(unnest(regexp_extract_all(text, '{_WORD}'))) AS term FROM sent),
+sc AS (SELECT sw.doc_id, index, sum(weight) AS score FROM sw JOIN weights USING (doc_id, term) GROUP BY ALL),
+scored AS (SELECT s.doc_id, s.index, s.text, 1 - in_doc / greatest(doc_length, 1) AS posd, 1 - in_par / greatest(par_length, 1) AS posp, coalesce(score, 0) AS score, (1 - in_doc / greatest(doc_length, 1)) * (1 - in_par / greatest(par_length, 1)) * coalesce(score, 0) AS weight FROM sent s LEFT JOIN sc USING (doc_id, index)),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, index) AS rank, max(round(weight, 9) > 0) OVER (PARTITION BY doc_id) AS held FROM scored) WHERE CASE WHEN held THEN round(weight, 9) > 0 AND rank <= 10 ELSE index < 10 END)"""
+_ROUNDED = "doc_id, index, md5(text) AS text, round(posd, 6) AS posd, round(posp, 6) AS posp, round(score, 6) AS score, round(weight, 6) AS weight"
+SQL |= {
+    "sum_sentence_weights": f"WITH {_SENTENCES} SELECT {_ROUNDED} FROM scored",
+    "sum_topn": f"WITH {_SENTENCES} SELECT {_ROUNDED.replace('round(weight, 6)', 'round(round(weight, 9), 6)')} FROM top",
+    "sum_coverage": f"WITH {_SENTENCES}, k AS (SELECT doc_id, term FROM weights QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(base, 9) DESC, term) <= 20), said AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '{_WORD}'))) AS term FROM top) SELECT doc_id, round(count(*) / 20, 4) AS coverage FROM k JOIN said USING (doc_id, term) GROUP BY 1",
+    "sum_cosine_topk": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(q.v, c.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(c.v, c.v))), 5) AS cosine FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0) SELECT query_id, vec_id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM p WHERE cosine >= 0.45 QUALIFY rank <= 3",
+}
