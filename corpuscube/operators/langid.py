@@ -190,10 +190,14 @@ def out_of_place(documents: DataFrame, profiles: DataFrame, all_docs: DataFrame,
     """(doc_id, lang, distance): the sum of rank differences, the language profile's
     length where it has no such gram.  Grams that it lacks need no row: they are counted by
     what is matched.  A document without grams is at distance 0 from all."""
-    size = near(profiles.groupBy("lang").agg(F.count(F.lit(1)).alias("length")))
-    known = near(profiles.select("lang", "gram", F.col("rank").alias("there")).join(size, "lang"))
-    gain = documents.join(known, "gram").groupBy(key, "lang").agg(F.sum(F.abs(F.col("rank") - F.col("there")) - F.col("length")).alias("gain"))
-    grams = documents.groupBy(key).agg(F.count(F.lit(1)).alias("grams"))
+    learned = near(profiles.select("lang", "gram", F.col("rank").alias("there")))  # made once
+    size = near(learned.groupBy("lang").agg(F.count(F.lit(1)).alias("length")))
+    known = near(learned.join(size, "lang"))
+    # one row a document, of which both sides below are made: the texts are read once
+    each = documents.groupBy(key).agg(F.collect_list(F.struct("gram", "rank")).alias("g"))
+    listed = each.select(key, F.inline("g")).join(known, "gram")
+    gain = listed.groupBy(key, "lang").agg(F.sum(F.abs(F.col("rank") - F.col("there")) - F.col("length")).alias("gain"))
+    grams = each.select(key, F.size("g").alias("grams"))
     pairs = all_docs.select(key).join(grams, key, "left").crossJoin(size)
     out = pairs.join(gain, [key, "lang"], "left")
     return out.select(key, "lang", (F.coalesce("grams", F.lit(0)) * F.col("length") + F.coalesce("gain", F.lit(0))).cast("double").alias("distance"))
@@ -204,9 +208,11 @@ def alphabet_distance(counted: DataFrame, frequencies: DataFrame, all_docs: Data
     letters outside the alphabet, 12 places; 1 for a document without letters.  The full outer
     comparison is 2 plus what shared letters take away.  A language without an alphabet here has
     the letters that it was seen with."""
-    total = counted.groupBy(key).agg(F.sum("n").alias("total"))
-    shares = counted.join(total, key).select(key, "letter", (F.col("n") / F.col("total")).alias("share"))
-    spark, langs = counted.sparkSession, near(frequencies.select("lang").distinct())
+    each = counted.groupBy(key).agg(F.sum("n").alias("total"), F.collect_list(F.struct("letter", "n")).alias("l"))
+    total = each.select(key, "total")
+    shares = each.select(key, "total", F.inline("l")).select(key, "letter", (F.col("n") / F.col("total")).alias("share"))
+    spark, frequencies = counted.sparkSession, near(frequencies)
+    langs = near(frequencies.select("lang").distinct())
     fixed = spark.createDataFrame([(k, c) for k, v in ALPHABETS.items() for c in v], "lang string, letter string").join(langs, "lang")
     seen = frequencies.select("lang", "letter", "freq", ~F.col("lang").isin(*ALPHABETS) | F.col("in_alphabet"))
     unseen = fixed.join(frequencies, ["lang", "letter"], "left_anti").select("lang", "letter", F.lit(0.0), F.lit(True))
