@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -121,14 +122,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     rows = rows.withColumn("shard", F.pmod("o", F.lit(shards)))
 
     def learn(group: pa.Table) -> pa.Table:
-        seen: list[tuple[int, np.ndarray, np.ndarray, float]] = []
+        seen: list[tuple[tuple[int, int], np.ndarray, np.ndarray, float]] = []
         order, y = group["o"].to_pylist(), group["y"].to_pylist()
         for lo, hi, data, off in chunks(group["x"]):
             grams, bounds = ngrams(data, off)
             for i in range(hi - lo):
                 at, n = np.unique(grams[bounds[i] : bounds[i + 1]], return_counts=True)
                 x = np.append(n * (SCALE / max(1, n.sum())), 1.0)
-                seen.append((order[lo + i], np.append(at, 1 << BITS).astype(np.int32), x.astype(np.float32), y[lo + i]))
+                seen.append(((order[lo + i], crc32(data[off[i] : off[i + 1]])), np.append(at, 1 << BITS).astype(np.int32), x.astype(np.float32), y[lo + i]))
         seen.sort(key=lambda r: r[0])
         model = Leader()
         for _ in range(passes):

@@ -22,8 +22,10 @@ shingles (by a hash of 64 bits of the whole set), so exact copies cost an aggreg
 components come from star contraction.
 
 Defined results: texts without a word, null ones among them, have fingerprint 0, which is
-linked like any other, and by similarity the empty set.  A component is named by its smallest id; rows without an id have
-their component's all the same.
+linked like any other, and by similarity the empty set.  A component is named by its smallest
+id; rows without an id have their component's all the same; repeated rows and ids each keep their
+row.  Texts of any length are taken whole.  A kept column must not be named fp, node, keys, size,
+fingerprint or component_id; other columns of the input may have any names.
 """
 
 from __future__ import annotations

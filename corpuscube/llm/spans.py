@@ -144,6 +144,10 @@ def owners(bounds: np.ndarray) -> np.ndarray:
 
 
 def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums of values between consecutive bounds; empty segments sum to zero."""
-    total = np.concatenate([np.zeros(1, np.float64), np.cumsum(values, dtype=np.float64)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    """Sums of values between consecutive bounds, each by itself, so that equal segments have
+    equal sums wherever they stand; empty segments sum to zero."""
+    out = np.zeros(len(bounds) - 1)
+    some = np.diff(bounds) > 0
+    if some.any():
+        out[some] = np.add.reduceat(np.asarray(values, np.float64)[: bounds[-1]], bounds[:-1][some])
+    return out

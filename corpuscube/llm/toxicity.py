@@ -9,7 +9,8 @@ the document's score.
 
 Defined results: a null or empty text, or one without letters, has no span and the score
 of a document without evidence.  With no label at all every score is 0.  Several labels
-of one document count as the largest.  Repeated documents each get the same result.
+of one document count as the largest.  Repeated documents each get the same result, up to the
+rounding of doubles.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpuscube.llm.annotate import annotate, bounded, lessons, sigmoid
-from corpuscube.llm.spans import LOWER, U, Prefix, chunks, release, runs
+from corpuscube.llm.spans import LOWER, U, Prefix, chunks, release, runs, segment_sums
 
 BITS = 18
 BLOCK = 128
@@ -136,8 +138,7 @@ def summary(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     padded = np.append(p, 0.0)
     most = np.maximum.reduceat(padded, bounds[:-1])
     most[np.diff(bounds) == 0] = 0
-    total = np.concatenate([[0], np.cumsum(p)])
-    return np.stack([np.ones(len(most)), most, np.log1p(np.maximum(total[bounds[1:]] - total[bounds[:-1]], 0))], 1)
+    return np.stack([np.ones(len(most)), most, np.log1p(segment_sums(p, bounds))], 1)
 
 
 def evident(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -224,12 +225,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     rows = lessons(docs, picked.select(key, F.col("__y").cast("double").alias("y")), text, key, most_bytes)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[tuple[int, np.ndarray, float]] = []
+        seen: list[tuple[tuple[int, int], np.ndarray, float]] = []
         for batch in batches:
             order, y = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for lo, hi, data, off in chunks(batch.column(1)):
                 _, _, bounds, found = tokens(data, off)
-                seen += [(order[lo + i], found[bounds[i] : bounds[i + 1]], y[lo + i]) for i in range(hi - lo)]
+                seen += [((order[lo + i], crc32(data[off[i] : off[i + 1]])), found[bounds[i] : bounds[i + 1]], y[lo + i]) for i in range(hi - lo)]
         seen.sort(key=lambda r: r[0])
         if seen:
             model = _learn([r[1] for r in seen], np.array([r[2] for r in seen]), passes)
