@@ -128,7 +128,7 @@ def breakdown_labels(facts: DataFrame, entries: DataFrame) -> DataFrame:
     each = distinct.select("breakdown_key", F.explode("dims").alias("dim", "code"))
     named = entries.select(F.expr("substring(codelist_id, 4)").alias("dim"), F.col("codelist_name").alias("dim_name"), "code", F.col("name_ru").alias("code_name"))
     lists = named.groupBy("dim").agg(F.first("dim_name").alias("dim_name"))
-    each = each.join(F.broadcast(named.drop("dim_name")), ["dim", "code"], "left").join(F.broadcast(lists), "dim", "left")
+    each = each.join(named.drop("dim_name"), ["dim", "code"], "left").join(lists, "dim", "left")
     one = F.struct("dim", F.coalesce("code_name", "code").alias("short"), F.concat_ws(": ", F.nullif(F.coalesce("dim_name", "dim"), F.lit("")), F.coalesce("code_name", "code")).alias("full"))
     made = each.groupBy("breakdown_key").agg(F.array_sort(F.collect_list(one)).alias("x"))
     join = lambda part, by: F.array_join(F.transform("x", lambda e: e[part]), by)

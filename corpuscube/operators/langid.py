@@ -178,7 +178,7 @@ def letter_frequencies(counted: DataFrame, lang: str = "lang") -> DataFrame:
     total = each.groupBy("lang").agg(F.sum("n").alias("total"))
     known = F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv])
     inside = F.coalesce(F.contains(F.element_at(known, F.col("lang")), F.col("letter")), F.lit(False))
-    return each.join(F.broadcast(total), "lang").select("lang", "letter", "n", (F.col("n") / F.col("total")).alias("freq"), inside.alias("in_alphabet"))
+    return each.join(total, "lang").select("lang", "letter", "n", (F.col("n") / F.col("total")).alias("freq"), inside.alias("in_alphabet"))
 
 
 def diacritic_share(counted: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -226,9 +226,9 @@ def alphabet_distance(counted: DataFrame, frequencies: DataFrame, all_docs: Data
 def diacritic_distance(counted: DataFrame, frequencies: DataFrame, key: str = "doc_id") -> DataFrame:
     """the difference of diacritic shares and the share of letters outside the alphabet."""
     mine = diacritic_share(counted, [key])
-    theirs = F.broadcast(diacritic_share(frequencies, ["lang"]).withColumnRenamed("share", "expected"))
+    theirs = diacritic_share(frequencies, ["lang"]).withColumnRenamed("share", "expected")
     alphabet = F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv])
-    pairs = counted.crossJoin(F.broadcast(frequencies.select("lang").distinct()))
+    pairs = counted.crossJoin(near(frequencies.select("lang").distinct()))
     known = F.coalesce(F.contains(F.element_at(alphabet, F.col("lang")), F.col("letter")), F.lit(False))
     alien = pairs.groupBy(key, "lang").agg((F.sum(F.when(known, 0).otherwise(F.col("n"))) / F.sum("n")).alias("alien"))
     return alien.join(mine, key).join(theirs, "lang").select(key, "lang", (F.abs(F.col("share") - F.col("expected")) + F.col("alien")).alias("distance"))

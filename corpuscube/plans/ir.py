@@ -271,3 +271,14 @@ SQL = {
 SQL["ir_titles"] = r"""WITH l AS (SELECT doc_id, source, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e]|\x{85}|\x{2028}|\x{2029}'), lambda x: trim(x, E' \t')), lambda x: x <> '') AS ls FROM documents),
 h AS (SELECT *, coalesce(nullif(trim(trim(ls[1], '[]{}*#='), E' \t'), ''), ls[1]) AS head, array_to_string(ls[2:], ' ') AS body FROM l)
 SELECT doc_id, CASE WHEN len(ls) = 0 THEN substr(coalesce(source, ''), 1, 100) WHEN len(regexp_extract_all(head, '\p{L}')) >= 4 THEN substr(head, 1, 100) ELSE rtrim(substr(CASE WHEN body <> '' THEN head || ' — ' || body ELSE coalesce(source, '') || ': ' || head END, 1, 100), ' ,;—-') END AS title FROM h"""
+# a hit's words with their places, the words that fit into 300 characters from each one on, and
+# the first of those stretches with the most words asked for
+_ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+SQL["ir_snippets"] = f"""WITH {_COUNTS}, {_hits(['shed', 'heat', 'ingtion'])}, page AS (SELECT rank, doc_id, text FROM ranked JOIN documents USING (doc_id) WHERE rank <= 10),
+p AS (SELECT rank, unnest(regexp_extract_all(text, '[^a-zA-Z0-9]*[a-zA-Z0-9]+')) AS piece, generate_subscripts(regexp_extract_all(text, '[^a-zA-Z0-9]*[a-zA-Z0-9]+'), 1) AS i FROM page),
+w AS (SELECT rank, i, piece, regexp_extract(piece, '[a-zA-Z0-9]+$') AS word, sum(length(piece)) OVER (PARTITION BY rank ORDER BY i) AS stop FROM p),
+h AS (SELECT *, stop - length(word) AS begin, lower(word) IN ('shed', 'heat', 'ingtion') AS hit FROM w),
+f AS (SELECT a.rank, a.i, max(b.i) AS last, sum(b.hit::INT) AS n FROM h a JOIN h b ON b.rank = a.rank AND b.i >= a.i AND b.stop - a.begin <= 300 GROUP BY ALL),
+c AS (SELECT rank, i AS first, last FROM f QUALIFY row_number() OVER (PARTITION BY rank ORDER BY n DESC, i) = 1),
+s AS (SELECT rank, min(begin) AS a, max(stop) AS b, string_agg(CASE WHEN i = first THEN '' ELSE {_ESCAPED.format("substr(piece, 1, length(piece) - length(word))")} END || CASE WHEN hit THEN '<mark>' || word || '</mark>' ELSE word END, '' ORDER BY i) AS body FROM h JOIN c USING (rank) WHERE i BETWEEN first AND last GROUP BY rank)
+SELECT rank, doc_id, CASE WHEN regexp_matches(substr(text, 1, a::BIGINT), '\\S') THEN '… ' ELSE '' END || body || CASE WHEN regexp_matches(substr(text, b::BIGINT + 1), '\\S') THEN ' …' ELSE '' END AS snippet FROM s JOIN page USING (rank)"""

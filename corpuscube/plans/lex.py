@@ -62,7 +62,7 @@ def lex_phrase_cover(spark, d):
 def _translated(spark, d):
     tokens = _tokens(spark, d)
     best = lc.lookup(_vocabulary(spark, d), _entries(spark), "general").where("target IS NOT NULL")
-    return tokens.join(F.broadcast(best.select("lemma", "pos", "target")), ["lemma", "pos"], "left")  # at most the dictionary's size times the parts of speech
+    return tokens.join(best.select("lemma", "pos", "target"), ["lemma", "pos"], "left")
 
 
 def lex_coverage(spark, d):
@@ -183,3 +183,10 @@ h AS (SELECT text_id, "at", CASE WHEN p3 IN (SELECT source FROM e) THEN 3 ELSE 2
 r AS (SELECT text_id, min("at") AS "at" FROM h GROUP BY text_id UNION ALL SELECT r.text_id, (SELECT min(x."at") FROM h x WHERE x.text_id = r.text_id AND x."at" >= r."at" + h.size) FROM r JOIN h ON h.text_id = r.text_id AND h."at" = r."at" WHERE r."at" IS NOT NULL)
 SELECT h.text_id AS doc_id, h."at"::INT AS start, size, phrase FROM r JOIN h USING (text_id, "at")""",
 }
+# a word in pieces, the longest groups of letters first; c is soft before e, i and y
+_GROUPS = "|".join(sorted(lx.GROUPS, key=len, reverse=True))
+_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in {**lx.LETTERS, **lx.GROUPS}.items()) + "}"
+SQL["lex_replenish"] = f"""WITH {_TOK}, {_best('general')}, m AS (SELECT DISTINCT lower(v.lemma) AS source, v.pos FROM v LEFT JOIN best b ON b.lemma = v.lemma AND b.pos = v.pos WHERE b.lemma IS NULL),
+p AS (SELECT *, regexp_extract_all(source, '{_GROUPS}|.') AS ps FROM m),
+w AS (SELECT source, pos, array_to_string(list_transform(range(1, len(ps) + 1), lambda i: CASE WHEN ps[i] = 'c' THEN CASE WHEN substr(coalesce(ps[i + 1], ''), 1, 1) IN ('e', 'i', 'y') THEN 'ц' ELSE 'к' END ELSE coalesce({_MAP}[ps[i]], '') END), '') || CASE WHEN length(source) > 3 AND regexp_matches(source, '[aeiouy][^aeiouy]y$') THEN 'я' ELSE '' END AS t FROM p)
+SELECT source, pos, CASE WHEN pos IN ('PROPN', 'NOUN', 'X') THEN t ELSE '' END AS target, '' AS gram, 'general' AS domain, 0 AS verified FROM w"""

@@ -132,3 +132,11 @@ SQL = {
     "lid_pair_agreement": f"{_RESULTS}, pairs AS (SELECT * FROM (VALUES ('ngram', 'alphabet'), ('ngram', 'neural'), ('alphabet', 'neural')) t(first, second)) SELECT p.first, p.second, count(b.doc_id) AS compared, coalesce(round(avg(CASE WHEN b.doc_id IS NULL THEN NULL WHEN a.lang = b.lang THEN 1.0 ELSE 0.0 END), 9), 0) AS agreement FROM pairs p LEFT JOIN judged a ON a.method = p.first AND a.error IS NULL LEFT JOIN judged b ON b.method = p.second AND b.doc_id = a.doc_id AND b.error IS NULL GROUP BY ALL",
 }
 SQL["lid_suite_summary"] = SQL["lid_pair_agreement"].replace("SELECT p.first, p.second,", "SELECT 'pair' AS kind, p.first || ' ' || p.second AS name,").replace("AS compared", "AS n").replace("AS agreement", "AS share").replace("GROUP BY ALL", "GROUP BY ALL", 1) + " UNION ALL SELECT 'method', method, count_if(error IS NULL AND lang = lang_true)::BIGINT, round(count_if(error IS NULL AND lang = lang_true) / count(*), 9) FROM judged GROUP BY method"
+# shown text: what is in no hidden element, piece by piece between tags
+_SHOWN = "html"
+for _name in ("script", "style", "nav", "header", "footer", "head"):
+    _SHOWN = f"regexp_replace({_SHOWN}, '(?is)<{_name}(\\s[^>]*)?>.*?</{_name}\\s*>', chr(1), 'g')"
+_SHOWN = f"regexp_replace({_SHOWN}, '(?s)<!--.*?-->|<[!/a-zA-Z][^>]*>', chr(1), 'g')"
+for _entity, _text in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", "\u00a0"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+    _SHOWN = f"replace({_SHOWN}, '&{_entity};', '{_text}')"
+SQL["lid_html_text"] = f"WITH t AS (SELECT page_id, regexp_replace(array_to_string(list_filter(list_transform(string_split({_SHOWN}, chr(1)), lambda x: regexp_replace(x, '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g')), lambda x: x <> ''), ' '), '[\\s\u00a0]+', ' ', 'g') AS text FROM pages) SELECT page_id, text, length(text)::INT AS chars FROM t"

@@ -1,6 +1,7 @@
 """Dictionary, translation, commands, speech, word forms."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpuscube.functions import lexical as lx, morphology as m, text as tx
 from corpuscube.operators import commands as cm, lexicon as lc
@@ -155,3 +156,28 @@ def test_normalising_columns(spark):
     t = spark.createDataFrame([("Öffne, bitte!",)], "text string")
     row = t.select(tx.spoken(t["text"]).alias("n"), tx.folded(t["text"]).alias("f")).first()
     assert tuple(row) == ("öffne bitte", "oeffne bitte")
+
+
+def test_both_ways_to_find_phrases(spark, monkeypatch):
+    """Phrases that go to the tasks and phrases that are joined give the same hits and cover."""
+    entries = spark.createDataFrame([("a b", "x"), ("b c", "x"), ("a b c d", "x"), ("c d", ""), ("d a", "x"), ("a b c d e f", "x")], "source string, target string")
+    words = spark.createDataFrame([(1, "a b c d a b".split()), (2, "b c d a".split()), (3, ["a"]), (4, [])], "doc_id int, lemmas array<string>")
+    few = [sorted(map(tuple, f(words, entries).collect())) for f in (lc.phrase_hits, lc.greedy_cover)]
+    monkeypatch.setattr(lc, "FEW", 1)
+    assert [sorted(map(tuple, f(words, entries).collect())) for f in (lc.phrase_hits, lc.greedy_cover)] == few and few[0]
+
+
+def test_lead_and_body(spark):
+    from corpuscube.sources.files import lead_and_body
+
+    texts = ["lead\n== A ==\nbody\n== B ==\nmore", "one\n\ntwo\n\nthree", "one only", "=== no ===\nx"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(lead_and_body(F.col("t"))).collect()]
+    assert [(x["lead"], x["body"].strip()) for x in got] == [("lead\n", "body\n== B ==\nmore"), ("one", "two\n\nthree"), ("one only", ""), ("=== no ===\nx", "")]
+
+
+def test_marker_language(spark):
+    from corpuscube.functions import text as tx
+
+    texts = ["le chat et la souris", "the cat and the mouse", "", "xyz", "je suis ici", "they were here", None]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(tx.marker_language(F.col("t"))).collect()]
+    assert got == [tx.french_or_english(t) for t in texts]
