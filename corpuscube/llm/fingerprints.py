@@ -9,6 +9,8 @@ The first part tells equal multisets of paragraphs from others; the cosine of th
 parts, 0 at least, is the likeness of two documents.
 
 Defined results: a null text is an empty one, and an empty text is one empty paragraph.
+Texts of any length are read whole.  Rows of one id, and those without one, follow one another in the
+order of their texts and lie in one range; the id 2**63 - 1 is not told from a missing one.
 Equal fingerprints have likeness 1; else a document without words has likeness 0 to any.
 A counter wraps, and likeness suffers, only where one text repeats a pair over 32,767 times.
 """

@@ -7,7 +7,8 @@ codeword and flags a text whose two nearest codewords cost nearly the same.
 Defined results: a null text, an empty one and one without a letter give `und`, score 0
 and no ambiguity flag; so does every text if nothing was learned.  Ties between
 codewords go to the smaller language name.  Repeated rows each count in learning and
-each get a result.  Null labels teach nothing.
+each get a result.  Null labels teach nothing.  Texts of any length are read whole, and kept columns
+may have any names; those named lang_pred, score and ambiguous are replaced.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ values are their shares of the text, so that long and short texts are alike.
 
 Defined results: a null or empty text has no n-gram and is scored by the bias alone.
 With no labelled row every score is 0.5.  Several labels of one document count as the
-largest.  Repeated documents each get the same score.
+largest.  Repeated documents each get the same score.  Texts of any length are read whole, and
+kept columns may have any names; one named score is replaced.
 """
 
 from __future__ import annotations

@@ -28,7 +28,8 @@ unrelated ones of the context); among 10**13 contexts two others agree with a ch
 Defined results: a null text is an empty one.  Rows with equal ids are one document's
 versions: neither removes from the other.  Null ids come last, all in one cell, as rows of one
 id are; a cell of 2 GiB or more is an error, never a wrong result.  Texts under `length` bytes
-stay whole.  Kept columns may have any names.
+stay whole.  The id 2**63 - 1 is not told from a missing one.  Kept columns may have any names; those
+named n_bytes, span_starts, span_ends and kept are replaced.
 """
 
 from __future__ import annotations

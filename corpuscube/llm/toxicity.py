@@ -10,7 +10,8 @@ the document's score.
 Defined results: a null or empty text, or one without letters, has no span and the score
 of a document without evidence.  With no label at all every score is 0.  Several labels
 of one document count as the largest.  Repeated documents each get the same result, up to the
-rounding of doubles.
+rounding of doubles.  Texts of any length are read whole, and kept columns may have any names; those
+named score, span_starts and span_ends are replaced.
 """
 
 from __future__ import annotations
