@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpuscube.llm import ranges
 from corpuscube.llm.rindex import RunLengthIndex
-from corpuscube.llm.spans import CHUNK, U, Prefix, chunks, flat, mix, release, runs
+from corpuscube.llm.spans import CHUNK, U, Prefix, chunks, flat, mix, release, runs, same_bytes
 from corpuscube.llm.tables import stored, width
 
 GRAM = 24
@@ -53,8 +53,8 @@ UNIT = 4096
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Of every anchor: its document, its context's start and end, how far in the context it
-    begins, and the hashes of the anchor and (64 and 32 bits) of the context.  A window's
-    anchor is the leftmost least-hashed gram in it."""
+    begins, and the hashes of the anchor and (64 bits, with that place, and 32) of the context.  A
+    window's anchor is the leftmost least-hashed gram in it."""
     grams, n = length - GRAM + 1, len(data)
     none = np.zeros(0, np.int64)
     starts = n - length + 1
@@ -80,7 +80,9 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     place = place[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else place
     doc = np.searchsorted(off, place, "right") - 1
     lo, hi = np.maximum(place - (length - GRAM), off[doc]), np.minimum(place + length, off[doc + 1])
-    return doc, lo, hi, place - lo, mix(h[place]), prefix.of(lo, hi), (Prefix(data, 1).of(lo, hi) >> U(32)).astype(np.uint32)
+    # in periodic texts contexts of equal bytes can have their anchors at different places: they are not one
+    whole = mix(prefix.of(lo, hi) + (place - lo).astype(np.uint64))
+    return doc, lo, hi, place - lo, mix(h[place]), whole, (Prefix(data, 1).of(lo, hi) >> U(32)).astype(np.uint32)
 
 
 class Cell:
@@ -233,7 +235,68 @@ def _classes(body: np.ndarray, start: np.ndarray, wide: int) -> np.ndarray:
     return np.unique(rows.view(f"V{wide}").reshape(-1), return_inverse=True)[1]
 
 
+def _hashes(lanes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each of these spans, 8 bytes at a time.  lanes: the 8 bytes from each place on."""
+    out, left, done = size.astype(np.uint64), np.arange(len(size)), 0
+    while len(left):
+        rest = size[left] - done
+        unused = (U(8) * (U(8) - np.minimum(rest, 8).astype(np.uint64))).astype(np.uint64)
+        out[left] = mix((out[left] ^ (lanes[start[left] + done] << unused)) * U(0x9FB21C651E98DF25))
+        done += 8
+        left = left[rest > 8]
+    return out
+
+
+def shared_part(at: np.ndarray, body: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each context, its first window and its last that may be in another one, by a hash of
+    windows that have equally many bytes before the anchor; (length, -1) if there is none.
+    body has 8 bytes to spare at its end."""
+    lanes = np.ndarray((len(body) - 7,), "<u8", body, strides=(1,))
+    first, last = np.full(len(at), length), np.full(len(at), -1)
+    for r in range(length - GRAM + 1):
+        j = at - r
+        which = np.flatnonzero((j >= 0) & (j + length <= size))
+        s = start[which] + j[which]
+        key = np.zeros(len(s), np.uint64)
+        for k in (*range(0, length - 7, 8), length - 8):
+            key = (key ^ lanes[s + k]) * U(0x9FB21C651E98DF25)
+            key ^= key >> U(29)
+        by = np.argsort(key)
+        same = np.flatnonzero(key[by[1:]] == key[by[:-1]])
+        some = which[np.unique(np.concatenate([by[same], by[same + 1]]))]
+        first[some], last[some] = np.minimum(first[some], j[some]), np.maximum(last[some], j[some])
+    return first, last
+
+
 def judged(h: np.ndarray, order: np.ndarray, at: np.ndarray, body: np.ndarray, start: np.ndarray, size: np.ndarray, length: int, most: int = INDEXED) -> np.ndarray:
+    """For each context, which of its windows a context of smaller order and of its anchor holds.
+
+    Only the parts of contexts go on whose windows may be in another one, and of parts of equal
+    bytes only that of the smallest order: the line that many texts share is indexed once."""
+    body = np.concatenate([body, np.zeros(8, np.uint8)])
+    bits = np.zeros(len(h), np.uint64)
+    first, last = shared_part(at, body, start, size, length)
+    mine = np.flatnonzero(last >= 0)
+    if not len(mine):
+        return bits
+    begin, wide = start[mine] + first[mine], last[mine] - first[mine] + length
+    key = _hashes(np.ndarray((len(body) - 7,), "<u8", body, strides=(1,)), begin, wide) ^ mix(h[mine].astype(np.uint64) << U(8) | (at - first)[mine].astype(np.uint64))
+    by = np.lexsort((order[mine], key))
+    new = np.concatenate([[True], key[by[1:]] != key[by[:-1]]])
+    of = np.empty(len(mine), np.int64)
+    of[by] = by[new][np.cumsum(new) - 1]
+    equal = (wide == wide[of]) & (h[mine] == h[mine[of]]) & ((at - first)[mine] == (at - first)[mine[of]])
+    equal[equal] = same_bytes(body, begin[equal], body, begin[of[equal]], wide[equal])
+    of = np.where(equal, of, np.arange(len(mine)))
+    one = np.flatnonzero(of == np.arange(len(mine)))
+    found = np.zeros(len(mine), np.uint64)
+    found[one] = indexed(h[mine[one]], order[mine[one]], (at - first)[mine[one]], body, begin[one], wide[one], length, most)
+    every = (U(1) << (wide - length + 1).astype(np.uint64)) - U(1)
+    bits[mine] = np.where(order[mine] > order[mine[of]], every, found[of]) << first[mine].astype(np.uint64)
+    return bits
+
+
+def indexed(h: np.ndarray, order: np.ndarray, at: np.ndarray, body: np.ndarray, start: np.ndarray, size: np.ndarray, length: int, most: int = INDEXED) -> np.ndarray:
     """earlier() by indexes that hold about `most` bytes each.
 
     A window holds its anchor after r bytes of its own, 0 <= r <= length - GRAM, and equal
@@ -358,7 +421,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
         made = []
         for i, j, data, off in chunks(cell.table["__x"].combine_chunks(), CHUNK):
             base, n = cell.off[i], len(data)
-            at = [np.bincount(x[np.searchsorted(x, base) : np.searchsorted(x, base + n)] - base, minlength=n)[:n] for x in (lo, hi)]
+            # what ends where this chunk begins, ended in the one before
+            at = [np.bincount(x[np.searchsorted(x, base, side) : np.searchsorted(x, base + n)] - base, minlength=n)[:n] for x, side in ((lo, "left"), (hi, "right"))]
             away = np.cumsum(at[0] - at[1]) > 0
             # runs cross no document's edge, and neither do strings, so an end at the chunk's edge needs no mark
             starts, ends, begin = runs(away, off)

@@ -422,3 +422,25 @@ def test_contexts_of_common_anchors(seed, most):
             sure = any(o < order[i] and (k, r, x) == (h[i], at[i] - j, w) for o, k, r, x in windows)
             told = bool(int(got[i]) >> j & 1)
             assert told <= held and sure <= told
+
+
+def test_lines_of_many_texts_are_indexed_once(monkeypatch):
+    """A line that texts of all kinds share: its contexts differ, their shared parts do not."""
+    rng, n, length = np.random.default_rng(3), 4000, 50
+    line = rng.integers(97, 123, length, dtype=np.uint8)
+    bodies = [np.concatenate([rng.integers(97, 123, 26, dtype=np.uint8), line]) for _ in range(n)]
+    asked, index = [], repeats.earlier
+    monkeypatch.setattr(repeats, "earlier", lambda h, order, body, start, size, length: asked.append(int(size.sum())) or index(h, order, body, start, size, length))
+    size = np.full(n, 76)
+    got = repeats.judged(np.zeros(n, np.int64), np.arange(n), np.full(n, 26), np.concatenate(bodies), np.cumsum(size) - size, size, length)
+    assert got[0] == 0 and (got[1:] >> np.uint64(26) & np.uint64(1) == 1).all()
+    assert sum(asked) < size.sum() / 4
+
+
+def test_strings_that_end_with_a_chunk(spark):
+    """What was cut to the end of one chunk takes nothing from the next one's cuts."""
+    rng = np.random.default_rng(5)
+    one, two, *fill = (rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode() for n in (50, 50, 600_000, 600_000))
+    rows = [(1, f"{one} {two}"), (2, fill[0] + one), (2, fill[1] + two)]  # rows of one id are in one cell
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).where("doc_id = 2").collect()
+    assert sorted(bytes(r.kept).decode() for r in got) == sorted(fill)
