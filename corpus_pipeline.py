@@ -7,6 +7,9 @@ document: they stay or go together.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,9 +17,27 @@ from corpuscube.llm import mixing, packing, repeats, simhash, tables, toxicity
 from corpuscube.session import reaching
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows that go to a Python worker, and come back, at once: with whole texts in them, Spark's own 10,000
+#: are tens of megabytes, which the executor and its workers each hold in several copies.
+ROWS = 2000
+
+
+def lean(stage: Callable) -> Callable:
+    """A stage in whose session Arrow batches have at most ROWS rows.  What it returns is
+    computed later, so the setting stays."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(name, "10000")) <= ROWS:  # 0 or less: no bound
+            spark.conf.set(name, str(ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 @reaching
+@lean
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.7 stay; the field learns from the labels of
     the documents that are here."""
@@ -25,6 +46,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 @reaching
+@lean
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts that share four fifths of their five-word shingles, the one with the
     smallest doc_id stays."""
@@ -34,6 +56,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 @reaching
+@lean
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more that an earlier document has are cut out of the texts.  A
     character that is cut in part goes as a whole; a document of nothing else goes too."""
@@ -43,12 +66,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 @reaching
+@lean
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.repeated(mixing.mix(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
 @reaching
+@lean
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of 2048 tokens."""
     packed = packing.pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end=1)

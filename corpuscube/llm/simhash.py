@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpuscube.llm.annotate import annotate
 from corpuscube.llm.graph import components
-from corpuscube.llm.spans import LOWER, SPACE, U, runs
+from corpuscube.llm.spans import LOWER, SPACE, U, release, runs
 from corpuscube.llm.tables import stored, width
 
 RADIUS = 2
@@ -306,6 +306,7 @@ def linked(keyed: DataFrame, radius: int = RADIUS) -> DataFrame:
                 node, fp, g = node[cut:], fp[cut:], g[cut:]
         if len(g):
             yield done(node, fp, g)
+        release()
 
     return spread.select(*names, "g").mapInArrow(run, "u bigint, v bigint")
 
@@ -420,6 +421,8 @@ def _missed(each: DataFrame, edges: DataFrame, sets_of, similarity: float) -> Da
                     held.append(batch.slice(lo, hi - lo))
         if held:
             yield done(pa.Table.from_batches(held))
+        held.clear()
+        release()
 
     return spread.mapInArrow(run, "u bigint, v bigint")
 

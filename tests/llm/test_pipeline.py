@@ -89,3 +89,21 @@ def test_run_and_empty_input(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert pipe.run(spark, str(tmp_path)).count() == 0
+
+
+def test_batches_are_bounded(spark):
+    """No stage sends Spark's 10,000 whole texts to a worker at once."""
+    import pyarrow as pa
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "a text", "en", "web", 6)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    try:
+        for stage in (pipe.drop_near_copies, pipe.cut_repeats, pipe.mix_sources, pipe.pack_sequences):
+            spark.conf.set(name, "10000")
+            stage(spark, docs, "")
+            told = [r.n for r in spark.range(0, 9000, 1, 1).mapInArrow(sizes, "n bigint").collect()]
+            assert sum(told) == 9000 and max(told) <= pipe.ROWS
+    finally:
+        spark.conf.set(name, before)
