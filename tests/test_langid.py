@@ -65,3 +65,8 @@ def test_pages(encoding):
 def test_page_without_declaration():
     text, used = tx.read_page("<p>été</p>".encode("latin-1"))
     assert tx.visible_text(text) == "été" and used == "windows-1252"
+
+
+def test_references_end_with_a_semicolon():
+    page = "<title>a</title><p>a &amp;&amp&amp b &lt;i&gt; &#233; &am &quo</p><i>x & y &nosuch; &eacute;</i>"
+    assert tx.visible_text(page) == "a &&amp&amp b <i> é &am &quo x & y &nosuch; é".replace("a &&amp", "a a &&amp", 1)
