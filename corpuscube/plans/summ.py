@@ -14,24 +14,16 @@ def _docs(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").where(F.col("lang").isin("en", "fr")).select("doc_id", "text", "lang")
 
 
-def _weights(spark, d):
-    docs = _docs(spark, d)
-    counts = sm.term_counts(docs)
-    return sm.word_weights(counts, sm.document_frequencies(counts, docs.agg(F.count(F.lit(1)).alias("n"))))
-
-
-def _sentences(spark, d):
-    return sm.weighted_sentences(_docs(spark, d), _weights(spark, d))
+def _words(spark, d):
+    return sm.words_of(_docs(spark, d))
 
 
 def sum_df_idf(spark, d):
-    docs = _docs(spark, d)
-    f = sm.document_frequencies(sm.term_counts(docs), docs.agg(F.count(F.lit(1)).alias("n")))
-    return f.select("term", "df", F.round("idf", 9).alias("idf"))
+    return _words(spark, d).all.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 def sum_word_weights(spark, d):
-    return _weights(spark, d).select("doc_id", "term", "tf", F.round("base", 6).alias("base"), F.round("weight", 6).alias("weight"))
+    return sm.word_weights_of(_words(spark, d)).select("doc_id", "term", "tf", F.round("base", 6).alias("base"), F.round("weight", 6).alias("weight"))
 
 
 def _shown(rows):
@@ -39,20 +31,20 @@ def _shown(rows):
 
 
 def sum_sentence_weights(spark, d):
-    return _shown(_sentences(spark, d))
+    return _shown(sm.sentences_of(_words(spark, d)))
 
 
 def sum_topn(spark, d):
     """The heaviest sentences, by weights of nine places."""
-    return _shown(sm.top_sentences(_sentences(spark, d).withColumn("weight", F.round("weight", 9))))
+    return _shown(sm.top_sentences_of(_words(spark, d)))
 
 
 def sum_mmr(spark, d):
-    return sm.diverse_sentences(_sentences(spark, d))
+    return sm.diverse_sentences_of(_words(spark, d))
 
 
 def sum_keywords(spark, d):
-    return sm.keyword_trees(sm.sentences(_docs(spark, d)), _weights(spark, d))
+    return sm.keyword_trees_of(_words(spark, d))
 
 
 def _pairs(spark, d):
@@ -71,8 +63,7 @@ def sum_rouge2(spark, d):
 
 
 def sum_coverage(spark, d):
-    w = _weights(spark, d).withColumn("base", F.round("base", 9))
-    return sm.coverage(w, sm.top_sentences(_sentences(spark, d).withColumn("weight", F.round("weight", 9)))).withColumn("coverage", F.round("coverage", 4))
+    return sm.coverage_of(_words(spark, d)).withColumn("coverage", F.round("coverage", 4))
 
 
 def sum_scores(spark, d):
