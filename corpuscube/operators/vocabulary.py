@@ -151,6 +151,10 @@ class Words:
             out = out.unionByName(rows.join(self.all.select("term", "idf"), "term"))
         return out
 
+    def rare(self) -> DataFrame:
+        """(doc_id, term, tf, tf_max) of documents of one row and of words that are not sent."""
+        return self._postings(False)
+
     def with_rare(self) -> DataFrame:
         """(doc_id, text, lang, rare) of documents of one row: rare are (term, idf) of the words
         that are not sent."""

@@ -20,10 +20,8 @@ def _count(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n"))
 
 
-def _weighted(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    counts = rt.term_counts(docs)
-    return rt.postings(counts, rt.terms(counts, _count(docs)))
+def _words(spark: SparkSession, d: str) -> rt.Words:
+    return rt.words_of(_docs(spark, d))
 
 
 def _asked(spark: SparkSession, d: str, q: str) -> DataFrame:
@@ -42,20 +40,19 @@ def _search(spark: SparkSession, d: str, params: SearchParams) -> DataFrame:
 
 
 def ir_postings(spark, d):
-    return _weighted(spark, d).select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
+    return rt.postings_of(_words(spark, d)).select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
 
 
 def ir_terms_idf(spark, d):
-    docs = _docs(spark, d)
-    return rt.terms(rt.term_counts(docs), _count(docs)).select("term", "df", F.round("idf", 9).alias("idf"))
+    return _words(spark, d).all.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 def ir_term_ids(spark, d):
-    return rt.term_ids(rt.term_counts(_docs(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    return rt.term_ids(_words(spark, d).all.select("term", "df"))
 
 
 def ir_keywords_top5(spark, d):
-    return rt.keywords(_weighted(spark, d).withColumn("weight", F.round("weight", 9)))
+    return rt.keywords_of(_words(spark, d))
 
 
 def ir_search_or(spark, d):
@@ -89,9 +86,8 @@ def ir_index_info(spark, d):
 
 def ir_search_stemmed(spark, d):
     docs = _docs(spark, d)
-    counts = rt.term_counts(docs, stems=True)
     params = SearchParams("shed heating")
-    hits = rt.select(rt.postings(counts, rt.terms(counts, _count(docs))), params, stems=True)
+    hits = rt.select(rt.stemmed_postings(docs, params), params, stems=True)
     return rt.page(hits, 0, 10).select("rank", "doc_id", "matched", F.round("score", 6).alias("score"))
 
 

@@ -33,9 +33,8 @@ def _put(spark, folder: str, files: dict[str, bytes]) -> str:
 def data_indexed_search(spark, d):
     """The whole index is written; a query reads its own terms' postings from it."""
     docs, at = ir._docs(spark, d), scratch(spark, "index")
-    counts = rt.term_counts(docs)
-    vocabulary = rt.terms(counts, docs.agg(F.count(F.lit(1)).alias("n")))
-    rt.write_index(vocabulary, rt.postings(counts, vocabulary), at)
+    words = rt.words_of(docs)
+    rt.write_index(words.all, rt.postings_of(words), at)
     params = SearchParams("shed heat ingtion")
     wanted, _ = rt.tx.parse_query(params.q, False)
     hits = rt.select(rt.read_index(spark, at, list(wanted)), params)

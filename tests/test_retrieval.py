@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from corpuscube.functions import text as tx
 from corpuscube.functions.porter import stem
-from corpuscube.operators import evaluation as ev, retrieval as rt
+from corpuscube.operators import evaluation as ev, retrieval as rt, vocabulary
 from corpuscube.operators.retrieval import SearchParams
+from corpuscube.plans import ir
 
 TEXTS = ["cat cat cat dog", "cat dog dog dog bird bird", "bird bird bird bird", "zebra elephant", "cat cat cat cat cat"]
 
@@ -133,3 +134,28 @@ def test_numbers_do_not_depend_on_how_ranges_are_read(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert [r["term_id"] for r in got] == list(range(1, len(got) + 1))
     assert [r["term"] for r in got] == sorted(r["term"] for r in got)
+
+
+def test_one_pass_gives_what_the_steps_give(spark, monkeypatch):
+    """Postings, keywords and stemmed hits, where words are sent or joined and rows share an id."""
+    monkeypatch.setattr(vocabulary, "FREQUENT", 3)
+    rows = [(i, t) for i, t in enumerate(TEXTS, 1)] + [(1, "dog heated sheds"), (6, "heating the shed, shed a heat"), (7, None), (None, "cat heat"), (None, "zebra")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts, n = rt.term_counts(docs), docs.selectExpr("count(*) AS n")
+    plain, words = rt.postings(counts, rt.terms(counts, n)), rt.words_of(docs)
+    same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.select(a.columns).collect()))
+    assert same(plain, rt.postings_of(words))
+    assert same(rt.keywords(plain.withColumn("weight", F.round("weight", 9)), 2), rt.keywords_of(words, 2))
+    stems, params = rt.term_counts(docs, stems=True), SearchParams("heating sheds -dogs")
+    assert same(rt.postings(stems, rt.terms(stems, n)).where(F.col("term").isin("heat", "shed", "dog")), rt.stemmed_postings(docs, params))
+
+
+def test_stems_begin_as_their_words_do():
+    words = [a + b for a in ("dying lying skies sky news proceed happy conflated relational vietnamization hopping").split() for b in ("", "s", "ly", "ing", "ational", "ies")]
+    assert all(stem(w)[0] == w[0] for w in words)
+
+
+def test_postings_of_frequent_words_are_not_shuffled(spark, tiny):
+    """Only the counts of ids and of words, and what is joined for rare words, which are none here."""
+    plan = ir.ir_postings(spark, tiny)._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Join") == 1
