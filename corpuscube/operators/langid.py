@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from corpuscube.functions import text as tx
+from corpuscube.operators.vocabulary import small_batches
 from corpuscube.session import near
 
 LANGUAGES = ("fr", "en")  # in the order that settles ties
@@ -127,6 +128,7 @@ def _top_grams_of_one(text: str, size: int, n_max: int) -> tuple[list, list, lis
 
 def _per_document(docs: DataFrame, text: str, keep: Sequence[str], fields: str, of) -> DataFrame:
     """Rows of(texts) -> (text's place, columns) beside the columns `keep`, some texts at a time."""
+    small_batches(docs.sparkSession)
     source = docs.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType([*(source.schema[c] for c in keep), *T._parse_datatype_string(fields).fields])
     kinds = [{"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[f.dataType.simpleString()] for f in schema.fields[len(keep) :]]

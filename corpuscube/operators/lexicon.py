@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from corpuscube.functions import lexical as lx
+from corpuscube.operators.vocabulary import small_batches
 
 LONGEST = 5
 FEW = 100_000
@@ -51,6 +52,7 @@ def phrase_hits(words: DataFrame, entries: DataFrame, longest: int = LONGEST) ->
     some = [r["phrase"] for r in known.limit(FEW + 1).collect()]
     if len(some) > FEW:
         return _runs(words, longest).join(known, "phrase", "left_semi").select("doc_id", "start", "size", "phrase")
+    small_batches(entries.sparkSession)
     listed = set(some)
     sizes = sorted({len(p.split()) for p in some if 1 < len(p.split()) <= longest})
     heads = {p.split()[0] for p in some}

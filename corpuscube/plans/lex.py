@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscube.functions import lexical as lx, text as tx
 from corpuscube.operators import commands as cm, lexicon as lc
+from corpuscube.session import near
 
 ENTRIES = [
     ("shed", "NOUN", "сарай", "m", "general", 1),
@@ -60,9 +61,11 @@ def lex_phrase_cover(spark, d):
 
 
 def _translated(spark, d):
+    """Tokens with their targets.  A common word's tokens would all be one task's in a shuffle by
+    word, so the words with a target go to the tokens, if they are few."""
     tokens = _tokens(spark, d)
     best = lc.lookup(_vocabulary(spark, d), _entries(spark), "general").where("target IS NOT NULL")
-    return tokens.join(best.select("lemma", "pos", "target"), ["lemma", "pos"], "left")
+    return tokens.join(near(best.select("lemma", "pos", "target")), ["lemma", "pos"], "left")
 
 
 def lex_coverage(spark, d):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpuscube.functions import lexical as lx, morphology as m, text as tx
 from corpuscube.operators import commands as cm, lexicon as lc
-from corpuscube.plans import api
+from corpuscube.plans import api, lex, registry
 
 ENTRIES = [
     ("cell", "NOUN", "клетка", "f", "med", 1), ("cell", "NOUN", "ячейка", "f", "general", 1), ("be", "AUX", "быть", "", "general", 1),
@@ -181,3 +181,17 @@ def test_marker_language(spark):
     texts = ["le chat et la souris", "the cat and the mouse", "", "xyz", "je suis ici", "they were here", None]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(tx.marker_language(F.col("t"))).collect()]
     assert got == [tx.french_or_english(t) for t in texts]
+
+
+def test_common_words_are_not_dealt_by_word(spark, tiny):
+    """A join by word would bring every token of a common word to one task."""
+    plan = lex.lex_coverage(spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("query", ["lex_phrase_cover", "lid_alphabet", "lid_per_language", "lid_document_profile"])
+def test_batches_of_texts_are_bounded_in_bytes(spark, tiny, query):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    registry.queries()[query](spark, tiny)
+    assert int(spark.conf.get(name)) <= 8 << 20
