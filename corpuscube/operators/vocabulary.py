@@ -32,8 +32,8 @@ def small_batches(spark) -> None:
     """Batches of whole texts on their way to Python hold BATCH_BYTES at most, so that a worker's
     memory does not depend on how long texts are.  Plans are run later, so the setting stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, "")
-    if not now or (now.isdigit() and int(now) > BATCH_BYTES):  # "16m" and the like are a caller's choice
+    now = spark.conf.get(name, str(2**31 - 1))
+    if now.isdigit() and int(now) > BATCH_BYTES:  # "16m" and the like are a caller's choice
         spark.conf.set(name, str(BATCH_BYTES))
 
 
